@@ -45,9 +45,9 @@ _EXACT = 128  # counts up to here are kept as they are, larger ones by their log
 
 
 class _Hashes(dict):
-    """Word -> 64-bit hash, remembered per batch run."""
+    """Word -> 64-bit hash, remembered by the Python worker."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
@@ -260,11 +260,12 @@ def _check(k: int, least_words: int, p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = _strings(batch, "text_a"), _strings(batch, "text_b")
-            same, n = [], len(left)
-            doc, h, _ = shingles(left + right, k, least_words)
-            at = np.searchsorted(doc, np.arange(2 * n + 1))
-            for i in range(n):
-                x, y = h[at[i] : at[i + 1]], h[at[n + i] : at[n + i + 1]]
+            same = []
+            each = {text: i for i, text in enumerate(dict.fromkeys(left + right))}
+            doc, h, _ = shingles(list(each), k, least_words)
+            at = np.searchsorted(doc, np.arange(len(each) + 1)).tolist()
+            for i, j in zip(map(each.__getitem__, left), map(each.__getitem__, right)):
+                x, y = h[at[i] : at[i + 1]], h[at[j] : at[j + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(both / (len(x) + len(y) - both) if len(x) and len(y) and q * both >= p * (len(x) + len(y) - both) else None)
             keep = pa.array([s is not None for s in same], pa.bool_())

@@ -32,10 +32,23 @@ def word_pattern() -> re.Pattern:
     return re.compile(f"[{class_ranges('LMN')}]+")
 
 
-_ASCII_WORD = re.compile(r"[a-z0-9]+", re.ASCII)
+_ASCII_SPACED = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 
 
-def words(text: str) -> list[str]:
-    """Lower-cased maximal runs of letters, marks and digits."""
+class _Spaced(dict):
+    """For str.translate: a blank for every code point that is no letter, mark or digit; filled as characters occur."""
+
+    def __missing__(self, point: int) -> int:
+        self[point] = value = point if unicodedata.category(chr(point))[0] in "LMN" else 32
+        return value
+
+
+_SPACED = _Spaced()
+
+
+def words(text: str) -> list[bytes] | list[str]:
+    """Lower-cased maximal runs of letters, marks and digits (as ASCII bytes where the whole text is ASCII)."""
     low = text.lower()
-    return (_ASCII_WORD if low.isascii() else word_pattern()).findall(low)
+    if low.isascii():
+        return low.encode().translate(_ASCII_SPACED).split()
+    return low.translate(_SPACED).split()
