@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkspark.llm import mixing, near_dup, packing, sentences, split_oversized
+from chunkspark.llm import mixing, near_dup, packing, quality, sentences, split_oversized
 from chunkspark.llm.token_count import DUCKDB, token_count
 
 
@@ -84,8 +84,16 @@ def p7_copies(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[0].withColumnRenamed("id", "doc_id")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_statistics(spark, folder).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.text_statistics(_table(spark, folder, "documents"), ["doc_id"], "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_links, p3_found, p3_pieces, p4_found, p6_found, p6_fill, p6_containers, p7_found, p7_report, p7_copies)}
+    return {f.__name__: f for f in (p2_found, p2_links, p3_found, p3_pieces, p4_found, p6_found, p6_fill, p6_containers, p7_found, p7_report, p7_copies, p8_found, p8_statistics)}
 
 
 _TOKENS = DUCKDB.format("text")
