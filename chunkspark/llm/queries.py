@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkspark.llm import mixing, near_dup, packing, quality, sentences, split_oversized
+from chunkspark.llm import mixing, near_dup, packing, pairs, quality, sentences, split_oversized
 from chunkspark.llm.token_count import DUCKDB, token_count
 
 
@@ -48,6 +48,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(_table(spark, folder, "segment"), keys, "text").distinct()
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken_pairs(_table(spark, folder, "segment"), ["doc_id", "segment_id"], "text", "summary")
+
+
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "documents").select("doc_id", "source", token_count("text").alias("tokens"))
 
@@ -93,7 +97,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_links, p3_found, p3_pieces, p4_found, p6_found, p6_fill, p6_containers, p7_found, p7_report, p7_copies, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_links, p3_found, p3_pieces, p4_found, p5_found, p6_found, p6_fill, p6_containers, p7_found, p7_report, p7_copies, p8_found, p8_statistics)}
 
 
 _TOKENS = DUCKDB.format("text")
