@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkspark.llm import mixing, near_dup, packing, pairs, quality, sentences, split_oversized
+from chunkspark.llm import mixing, near_dup, packing, pairs, quality, scan_repair, sentences, split_oversized
 from chunkspark.llm.token_count import DUCKDB, token_count
 
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.repair(_table(spark, folder, "enhancing_multimodal_protein"), "doc_id", "text")[1]
+
+
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.paragraphs(scan_repair.repair(_table(spark, folder, "enhancing_multimodal_protein"), "doc_id", "text")[0])
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     members, links = near_dup.near_duplicates(_table(spark, folder, "chunk"), "chunk_id", "text", threshold=0.65, k=3, least_words=60)
     return near_dup.expand_pairs(members, links).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -97,7 +105,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_links, p3_found, p3_pieces, p4_found, p5_found, p6_found, p6_fill, p6_containers, p7_found, p7_report, p7_copies, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_links, p3_found, p3_pieces, p4_found, p5_found, p6_found, p6_fill, p6_containers, p7_found, p7_report, p7_copies, p8_found, p8_statistics)}
 
 
 _TOKENS = DUCKDB.format("text")
