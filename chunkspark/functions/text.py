@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, even where ``use`` names it inside a lambda function."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c: Column | str) -> Column:
     """Without Unicode white space at both ends; null stays null."""
     return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
@@ -41,8 +48,7 @@ def split_literal(c: Column | str, sep: str) -> Column:
 
 def lines(c: Column | str) -> Column:
     """Lines at all Unicode line breaks; a break at the end opens no line, empty text has none."""
-    parts = F.split(col(c), LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(col(c), LINE_BREAK), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def keep_text(pieces: Column) -> Column:

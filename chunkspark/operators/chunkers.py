@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkspark.functions.text import col, keep_text, sentences, span, split_literal, strip
+from chunkspark.functions.text import col, keep_text, let, sentences, span, split_literal, strip
 from chunkspark.operators.format_aware import format_aware
 
 EMPTY = "array<string>"
@@ -18,13 +18,13 @@ EMPTY = "array<string>"
 
 def _windows(c: Column | str, size: int, step: int) -> Column:
     """Code-point windows of the stripped text, the last one short, none that begins behind the end."""
-    text = strip(c)
-    n = F.length(text)
-    if step == size:
-        count = F.ceil(n / size)
-    else:
-        count = F.least(1 + F.ceil(F.greatest(n - size, F.lit(0)) / step), F.ceil(n / step))
-    return F.transform(span(count), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+
+    def cut(text: Column) -> Column:
+        n = F.length(text)
+        count = F.ceil(n / size) if step == size else F.least(1 + F.ceil(F.greatest(n - size, F.lit(0)) / step), F.ceil(n / step))
+        return F.transform(span(count), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+
+    return let(strip(c), cut)
 
 
 def fixed(c: Column | str, size: int = 800) -> Column:
@@ -43,7 +43,7 @@ def sliding(c: Column | str, size: int = 800, stride: int = 400) -> Column:
 
 def group_sentences(pieces: Column, per: int = 3) -> Column:
     """Neighbouring sentences joined by a blank, ``per`` at a time."""
-    return F.transform(span(F.ceil(F.size(pieces) / per)), lambda i: F.array_join(F.slice(pieces, i * per + 1, F.lit(per)), " "))
+    return let(pieces, lambda p: F.transform(span(F.ceil(F.size(p) / per)), lambda i: F.array_join(F.slice(p, i * per + 1, F.lit(per)), " ")))
 
 
 def sentence(c: Column | str, per: int = 3) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chunkspark.functions.text import SPACE, keep_text, lines, strip
+from chunkspark.functions.text import SPACE, keep_text, let, lines, strip
 
 _FENCE = "```"
 _HEADING = rf"^#{{1,6}}{SPACE}+"
@@ -19,7 +19,6 @@ def format_aware(c: Column | str) -> Column:
     The fold keeps whether it is inside a fence, whether text has begun, and the finished chunks; the text of a
     chunk is the slice between its first and last line.
     """
-    all_lines = lines(c)
     start = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("begun"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("cuts"))
 
     def step(state: Column, line: Column) -> Column:
@@ -35,7 +34,10 @@ def format_aware(c: Column | str) -> Column:
             F.when(cut, F.concat(state["cuts"], F.array(state["i"]))).otherwise(state["cuts"]).alias("cuts"),
         )
 
-    cuts = F.aggregate(all_lines, start, step, lambda s: s["cuts"])
-    n = F.size(all_lines)
-    part = lambda x, i: F.array_join(F.slice(all_lines, x + 1, F.coalesce(F.get(cuts, i + 1), n) - x), "\n")
-    return keep_text(F.transform(cuts, part))
+    def join(all_lines: Column, cuts: Column) -> Column:
+        return F.transform(cuts, lambda x, i: F.array_join(F.slice(all_lines, x + 1, F.coalesce(F.get(cuts, i + 1), F.size(all_lines)) - x), "\n"))
+
+    def chunks(all_lines: Column) -> Column:
+        return let(F.aggregate(all_lines, start, step, lambda s: s["cuts"]), lambda cuts: join(all_lines, cuts))
+
+    return keep_text(let(lines(c), chunks))

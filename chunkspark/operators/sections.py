@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkspark.functions.text import is_blank, span, strip, token_estimate, tokens
+from chunkspark.functions.text import is_blank, let, span, strip, token_estimate, tokens
 
 
 def materialize(hierarchy: DataFrame, segments: DataFrame) -> DataFrame:
@@ -35,12 +35,16 @@ def materialize_members(members: DataFrame, segments: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "section_id", "sec_order", "section_title", F.array_join(F.transform("parts", lambda p: p["t"]), "\n\n").alias("text"))
 
 
-def window_texts(text: Column, words: Column, most: int, overlap: int) -> Column:
+def windows(words: Column, most: int, overlap: int) -> Column:
     """Windows of ``most`` words, each beginning ``overlap`` words before the end of the one before."""
     step = most - overlap
-    n = F.size(words)
-    count = F.when(n <= most, F.least(n, F.lit(1))).otherwise(1 + F.ceil((n - most) / F.lit(step)))
-    return F.transform(span(count), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(most)), " "))
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        count = F.when(n <= most, F.least(n, F.lit(1))).otherwise(1 + F.ceil((n - most) / F.lit(step)))
+        return F.transform(span(count), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(most)), " "))
+
+    return let(words, cut)
 
 
 def rechunk(sections: DataFrame, max_tokens: int = 500, overlap: int = 50, short_circuit: bool = True) -> DataFrame:
@@ -54,8 +58,8 @@ def rechunk(sections: DataFrame, max_tokens: int = 500, overlap: int = 50, short
         raise ValueError("max_tokens must be positive")
     overlap = min(max(overlap, 0), max_tokens - 1)
     text = strip("text")
-    windows = window_texts(text, tokens(text), max_tokens, overlap)
+    parts = windows(tokens(text), max_tokens, overlap)
     if short_circuit:
-        windows = F.when(token_estimate(text) <= max_tokens, F.array(text)).otherwise(windows)
-    rows = sections.where(~is_blank("text")).select("doc_id", F.coalesce("section_id", F.lit("s")).alias("section_id"), F.coalesce("section_title", F.lit("")).alias("section_title"), F.posexplode(windows).alias("chunk_ord", "text"))
+        parts = F.when(token_estimate(text) <= max_tokens, F.array(text)).otherwise(parts)
+    rows = sections.where(~is_blank("text")).select("doc_id", F.coalesce("section_id", F.lit("s")).alias("section_id"), F.coalesce("section_title", F.lit("")).alias("section_title"), F.posexplode(parts).alias("chunk_ord", "text"))
     return rows.select("doc_id", "section_id", "chunk_ord", F.concat_ws("-", "doc_id", "section_id", "chunk_ord").alias("chunk_id"), "section_title", "text")

@@ -39,14 +39,13 @@ def sentences(x: str) -> str:
 
 
 def groups(s: str, v: str) -> str:
-    return f"list_transform(range(0, len({s}), 3), lambda {v}: array_to_string(({s})[{v}+1:{v}+3], ' '))"
+    return f"list_transform([{s}], lambda z: list_transform(range(0, len(z), 3), lambda {v}: array_to_string(z[{v}+1:{v}+3], ' ')))[1]"
 
 
 def windows(x: str, size: int, step: int, v: str) -> str:
-    t = strip(x)
-    n = f"length({t})"
+    t, n = "y", "length(y)"
     count = f"ceil({n} / {size})" if size == step else f"least(1 + ceil(greatest({n} - {size}, 0) / {step}), ceil({n} / {step}))"
-    return f"list_transform(range(0, ({count})::bigint), lambda {v}: substring({t}, {v} * {step} + 1, {size}))"
+    return f"list_transform([{strip(x)}], lambda y: list_transform(range(0, ({count})::bigint), lambda {v}: substring({t}, {v} * {step} + 1, {size})))[1]"
 
 
 def _long(x: str, cut: str) -> str:
@@ -235,8 +234,9 @@ def oracle_sql() -> dict[str, str]:
     asked = _tf("(select doc_id as query_id, text from documents where doc_id % 100 = 0)", "query_id")
     out["graph_retrieval"] = f"""
         with hits as (select * from {_topk(_tf(f'({chunks})', 'chunk_id'), 'chunk_id', asked, 5)}),
-        both as (select query_id, rank as hit_rank, 0 as is_neighbor, chunk_id, score from hits union all select query_id, rank, 1, dst, score from hits join ({_NEXT}) n on n.src = hits.chunk_id where dst is not null)
-        select query_id, hit_rank, is_neighbor, chunk_id, score from both qualify row_number() over (partition by query_id, chunk_id order by hit_rank, is_neighbor) = 1"""
+        found as (select query_id, rank as hit_rank, 0 as is_neighbor, chunk_id, score from hits union all select query_id, rank, 1, dst, score from hits join ({_NEXT}) n on n.src = hits.chunk_id where dst is not null)
+        select query_id, hit_rank, is_neighbor, chunk_id, score from found qualify row_number() over (partition by query_id, chunk_id order by hit_rank, is_neighbor) = 1"""
+    out["ingestion_report"] = _report()
     hay = _MATCH("text")
     out["contains_match"] = f"select distinct chunk_id, (contains({hay}, 'low rank') or contains({hay}, 'thermal') or contains({hay}, 'eq 1')) as hit from chunk where text is not null"
     out["top_keywords"] = _keywords("documents", 25)
@@ -250,6 +250,18 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
+def _report() -> str:
+    seg = f"select doc_id, generate_subscripts(a, 1) - 1 as seg_order, unnest(a) as text from (select doc_id, {_PARAGRAPHS} as a from {_SECTION_DOCS})"
+    rule = _RULE.replace(_SEGMENTS, f"(select doc_id, 'seg_' || seg_order as segment_id, seg_order, text from ({seg}))")
+    t = "text"
+    words = f"len(regexp_extract_all({t}, '{_NWS}+'))"
+    pieces = f"case when ceil(length({t}) / 4) <= 200 or {words} <= 200 then 1 else 1 + ceil(({words} - 200) / 170) end"
+    return f"""{rule}, sec as (select doc_id, sec_no, string_agg(g.text, {_NL2} order by seg_order) as text from r join ({seg}) g using (doc_id, seg_order) group by 1, 2),
+        c as (select doc_id, sec_no, ({pieces})::bigint as n from sec), per as (select doc_id, count(*) as num_sections, sum(n)::bigint as num_chunks, sum(n - 1)::bigint as nexts from c group by 1)
+        select doc_id, num_segments, num_sections, num_chunks, 1 + num_sections + num_chunks as num_graph_nodes, num_sections + num_chunks + nexts as num_graph_edges
+        from (select doc_id, count(*) as num_segments from r group by 1) join per using (doc_id)"""
+
+
 def _recall() -> str:
     asked = f"select doc_id || '-' || query_no as query_id, query, must_contain from ({_fallback('(select * from documents where doc_id % 100 = 0)')})"
     worded = _tf(f"(select query_id, query || ' ' || array_to_string(must_contain, ' ') as text from ({asked}))", "query_id")
