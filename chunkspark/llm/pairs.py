@@ -276,21 +276,36 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(defects, pa.string()), pa.array(endings, pa.string())], [*batch.schema.names[:keys], "defect", "ending"])
 
 
-_STOPS = "[.!?。！？؟।]"
-_AROUND = "\"\\'”’»“«()[]{},;:،।؟ "
-_SIGNS = r"([\x{0e00}-\x{0e7f}\x{3040}-\x{30ff}\x{3400}-\x{9fff}]{3})(?:[\"'”’»)\]」』]*[.!?。！？]|\s|$)"
+_STOPS = re.compile("[.!?。！？؟।]")
+_AROUND = "\"'”’»“«()[]{},;:،।؟ \n\t\r"
+_SIGNS = re.compile("([\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]{3})(?:[\"'”’»)\\]」』]*[.!?。！？]|\\s|$)")
+
+
+def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[str] = set()
+    for batch in batches:
+        if len(seen) > 500_000:  # forgetting only costs repeated rows
+            seen.clear()
+        new: set[str] = set()
+        for k, column in enumerate(batch.columns):
+            for text in column.to_pylist():
+                if not text:
+                    continue
+                for piece in _STOPS.split(text.lower())[:-1]:
+                    last = piece.rstrip(_AROUND).rsplit(None, 2)[-2:]
+                    if last:
+                        new.add(last[-1].strip(_AROUND))
+                        new.add(" ".join(last).strip(_AROUND))
+                if k == 0 and not text.isascii():
+                    new.update(_SIGNS.findall(text))
+        new -= seen
+        seen |= new
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], ["ending"])
 
 
 def endings(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(ending)``: the distinct endings of sentences in all texts of ``columns``."""
-    text = F.lower(F.regexp_replace(F.concat_ws("\n", *columns), r"\s+", " "))
-    pieces = F.split(text, _STOPS)
-    pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    trimmed = F.transform(pieces, lambda x: F.trim(x, F.lit(_AROUND)))
-    last = F.transform(trimmed, lambda x: F.trim(F.substring_index(x, " ", -1), F.lit(_AROUND)))
-    two = F.transform(trimmed, lambda x: F.substring_index(x, " ", -2))
-    signs = F.regexp_extract_all(F.col(columns[0]), F.lit(_SIGNS), F.lit(1))
-    return df.select(F.explode(F.array_distinct(F.concat(last, two, signs))).alias("ending")).distinct()
+    return df.select(*columns).mapInArrow(_endings, "ending string").distinct()
 
 
 def broken_pairs(df: DataFrame, keys: list[str], prompt_col: str, response_col: str) -> DataFrame:
