@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chunkspark.session import cut_lineage
+
 SALTS = 64
 
 
@@ -111,6 +113,7 @@ def pack(df: DataFrame, id_col: str, size_col: str, containers: DataFrame) -> Da
     """
     spark = df.sparkSession
     items = df.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("total")).where("id is not null and total > 0")
+    items = cut_lineage(items)  # sizes may be costly to compute, and are read three times
     capacities = [r[0] for r in containers.select(F.col("capacity").cast("long")).where("capacity > 0").distinct().orderBy("capacity").limit(1000).collect()]
     if not capacities:
         return items.selectExpr("0L as capacity", "0L as container", "id", "0L as part", "1L as parts", "total as size").limit(0)
