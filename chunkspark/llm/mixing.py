@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkspark.session import cut_lineage
+
 BLOCK_ROWS = 20_000
 FAN_IN = 256
 _ROWS = "mix_id string, source string, block long, id {id}, tokens long, p double, extra int"
@@ -75,7 +77,7 @@ def mix(df: DataFrame, id_col: str, source_col: str, size_col: str, targets: Dat
     """
     kind = df.select(id_col).dtypes[0][1]
     docs = df.select(F.col(id_col).alias("id"), clean_source(source_col).alias("source"), F.col(size_col).cast("long").alias("tokens"))
-    docs = docs.where("id is not null and source is not null and tokens > 0")
+    docs = cut_lineage(docs.where("id is not null and source is not null and tokens > 0"))  # sizes are read several times
     stock = docs.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("n"))
     wanted = targets.select("mix_id", F.col("source").alias("listed"), clean_source("source").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("long").alias("max_repeats"))
     wanted = wanted.join(stock, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
