@@ -3,14 +3,16 @@
 Each pair gets the first defect that holds: ``empty``, ``refusal`` (an automaton of refusal phrases),
 ``other_language`` (scripts, then votes of stopwords), ``copy`` (the response is run through the suffix automaton of
 its prompt; the longest matches tell how much of the prompt it repeats), ``truncated`` (a stack of open delimiters,
-marks and words that cannot end a sentence). Whether a word can end one is learned from the corpus: the endings that
-stand before a stop anywhere in it are counted, and a response without a stop whose ending never does breaks off.
+marks and words that cannot end a sentence). Whether a word can end one is learned from the corpus: the occurrences of
+each ending are counted, and a response without a stop breaks off if too small a share of those of its ending stands
+before a stop.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -276,36 +278,93 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(defects, pa.string()), pa.array(endings, pa.string())], [*batch.schema.names[:keys], "defect", "ending"])
 
 
-_STOPS = re.compile("[.!?。！？؟।]")
-_AROUND = "\"'”’»“«()[]{},;:،।؟ \n\t\r"
-_SIGNS = re.compile("([\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]{3})(?:[\"'”’»)\\]」』]*[.!?。！？]|\\s|$)")
+#: An ending is one of finished sentences if this share of its occurrences, or more, stands before a stop.
+STOP_SHARE = 0.01
+#: Forget the counts of a task beyond so many endings; that only costs repeated rows.
+MOST_COUNTED = 200_000
+
+_FUNCTION_WORDS = frozenset(v for w in _VOTES for v in (w, w.capitalize(), w.upper()))
+_STOPS = frozenset(".!?؟।")
+_WORD_STOP = re.compile(_MARKED.pattern + "|[.!?؟।](?![a-z\\d])")
+_SIGN_RUNS = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]{3,}")
+_SIGN_STOP = re.compile("[\"'”’»)\\]」』]*[.!?。！？]")
+_TEXT_END = re.compile("\\s*$")
+_THAI_STOP = re.compile("\\s+(?![0-9๐-๙A-Za-zÀ-ɏ])")
+
+
+class EndingCounts:
+    """Occurrences of the possible endings of sentences in texts, and how many of them stand before a stop."""
+
+    def __init__(self) -> None:
+        self.total: Counter[str] = Counter()
+        self.stops: Counter[str] = Counter()
+
+    def add(self, text: str, whole: bool) -> None:
+        """Count ``text``; in scripts without blanks the end of a ``whole`` text is as good as a stop."""
+        tokens = _WORD_STOP.findall(text)
+        self.total.update(tokens)
+        special = [i for i, t in enumerate(tokens) if t in _FUNCTION_WORDS or t in _STOPS]
+        for i in special:
+            stop = tokens[i] in _STOPS
+            i -= stop
+            if i < 0 or tokens[i] in _STOPS:
+                continue
+            if tokens[i] not in _FUNCTION_WORDS:
+                self.stops[tokens[i]] += 1
+                continue
+            before = i - 1
+            while before >= 0 and tokens[before] in _STOPS:
+                before -= 1
+            if before >= 0:
+                (self.stops if stop else self.total)[f"{tokens[before]} {tokens[i]}"] += 1
+            elif stop:
+                self.stops[tokens[i]] += 1
+        if text.isascii():
+            return
+        for run in _SIGN_RUNS.finditer(text):
+            signs = run[0]
+            self.total.update([f"\0{signs[k : k + 3]}" for k in range(len(signs) - 2)])
+            end = run.end()
+            if _SIGN_STOP.match(text, end) or whole and _TEXT_END.match(text, end) or "\u0e00" <= signs[-1] <= "\u0e7f" and _THAI_STOP.match(text, end):
+                self.stops[f"\0{signs[-3:]}"] += 1
+
+    def rows(self) -> pa.RecordBatch:
+        """``(ending, stops, total)`` as ``ending`` writes them; what it leaves out, such as codes in capitals, is left
+        out here, which is why words are counted in their own case."""
+        counts: dict[str, list[int]] = {}
+        for raw, n in self.total.items():
+            last = raw.rsplit(" ", 1)[-1]
+            if raw[0] == "\0":
+                end = raw[1:]
+            elif last.isascii() and last.isupper() or not any(c.isalpha() for c in last) or any(c.isdigit() for c in last) or _UNSPACED.match(last[-1]):
+                continue
+            else:
+                end = raw.lower()
+            at = counts.setdefault(end, [0, 0])
+            at[0] += self.stops.get(raw, 0)
+            at[1] += n
+        columns = [pa.array(counts.keys(), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, ["ending", "stops", "total"])
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[str] = set()
+    counts = EndingCounts()
     for batch in batches:
-        if len(seen) > 500_000:  # forgetting only costs repeated rows
-            seen.clear()
-        new: set[str] = set()
         for k, column in enumerate(batch.columns):
             for text in column.to_pylist():
-                if not text:
-                    continue
-                for piece in _STOPS.split(text.lower())[:-1]:
-                    last = piece.rstrip(_AROUND).rsplit(None, 2)[-2:]
-                    if last:
-                        new.add(last[-1].strip(_AROUND))
-                        new.add(" ".join(last).strip(_AROUND))
-                if k == 0 and not text.isascii():
-                    new.update(_SIGNS.findall(text))
-        new -= seen
-        seen |= new
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], ["ending"])
+                if text:
+                    counts.add(text, k == 0)
+        if len(counts.total) > MOST_COUNTED:
+            yield counts.rows()
+            counts = EndingCounts()
+    yield counts.rows()
 
 
 def endings(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(ending)``: the distinct endings of sentences in all texts of ``columns``."""
-    return df.select(*columns).mapInArrow(_endings, "ending string").distinct()
+    """``(ending, stops, total)``: the occurrences of each possible ending in all texts of ``columns`` (the first one
+    holds whole texts), and how many of them stand before a stop."""
+    counts = df.select(*columns).mapInArrow(_endings, "ending string, stops long, total long")
+    return counts.groupBy("ending").agg(F.sum("stops").alias("stops"), F.sum("total").alias("total"))
 
 
 def broken_pairs(df: DataFrame, keys: list[str], prompt_col: str, response_col: str) -> DataFrame:
@@ -318,6 +377,6 @@ def broken_pairs(df: DataFrame, keys: list[str], prompt_col: str, response_col:
     judged = df.select(*keys, prompt_col, response_col).mapInArrow(_judge, f"{schema}, defect string, ending string")
     # Rows that need no look-up get a key of their own, so that they don't all meet in one partition.
     judged = judged.withColumn("ending", F.coalesce("ending", F.concat_ws("\u0000", F.lit(""), *keys)))
-    known = endings(df, [prompt_col, response_col]).withColumn("known", F.lit(True))
+    known = endings(df, [prompt_col, response_col]).where(F.col("stops") >= STOP_SHARE * F.col("total")).select("ending", F.lit(True).alias("known"))
     found = judged.join(known, "ending", "left").withColumn("defect", F.coalesce("defect", F.when(F.col("known").isNull(), F.lit("truncated"))))
     return found.where("defect is not null").select(*keys, "defect").dropDuplicates(keys)

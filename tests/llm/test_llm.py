@@ -141,6 +141,16 @@ def test_pairs_table(spark):
     assert {tuple(r) for r in pairs.broken_pairs(df, ["k"], "text", "summary").collect()} == {("b", "truncated"), ("e", "empty")}
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_endings_count_by_case_and_share(spark, times):
+    texts = ["The plasma relates to the hierarchy HIE.", "The view is modular. " + "The modular plasma recovers. " * 300, "次に説明する。"]
+    rows = [(f"t{i}-{n}", t, "はい。" if i == 2 else "Done.") for i, t in enumerate(texts) for n in range(times)]
+    rows += [("code", LONG, "Relates to the hie"), ("rare", LONG, "Relates to the modular"), ("fine", LONG, "Relates to the hierarchy HIE"), ("good", LONG, "How the plasma recovers")]
+    rows += [("ja", "この段落は理由を述べる。", "理由を説明する"), ("ja_cut", "この段落は理由を述べる。", "この段落は理由")]
+    df = spark.createDataFrame(rows, "k string, text string, summary string")
+    assert {tuple(r) for r in pairs.broken_pairs(df, ["k"], "text", "summary").collect()} == {("code", "truncated"), ("rare", "truncated"), ("ja_cut", "truncated")}
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(2)
     for _ in range(60):
