@@ -90,14 +90,15 @@ def pieces(text: str, limit: int, overlap: int, least: int | None = None) -> tup
     """The coarsest unit, and (start, end, boundary at the end) of the pieces of ``text``.
 
     Pieces are at most ``limit`` long; each but the first starts ``overlap`` before the end of the piece before it, so
-    they cover the text. A piece is at least ``least`` long (half the limit, and more than the overlap) where cut.
+    they cover the text. A piece is cut at the strongest boundary, the rightmost among equals, that leaves it at least
+    ``least`` long (just more than the overlap by default).
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     n = len(text)
     if n <= limit:
         return "whole", [(0, n, "end")] if n else []
-    least = max(overlap + 1, limit // 2 if least is None else min(least, limit))
+    least = max(overlap + 1, min(least or 0, limit))
     strength = strengths(text)
     index = StrongestCut(strength)
     out, start = [], 0

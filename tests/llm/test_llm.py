@@ -81,6 +81,12 @@ def test_pieces_cover_the_text():
         assert unit == "whole" or len(text) > 120
 
 
+def test_pieces_take_an_early_paragraph():
+    early = "a b c " * 5 + "\n\n" + "x y z " * 30
+    assert split_oversized.pieces(early, 100, 10)[1][0] == (0, 29, "paragraph")
+    assert split_oversized.pieces(early, 100, 10, 50)[1][0][2] == "word"
+
+
 @pytest.mark.parametrize(("text", "unit"), [("a" * 300, "char"), ("ab " * 100, "word"), ("One two three four. " * 20, "sentence"), (("x y. " * 10 + "\n\n") * 8, "paragraph"), ("short", "whole")])
 def test_coarsest_unit(text, unit):
     assert split_oversized.pieces(text, 100, 10)[0] == unit
