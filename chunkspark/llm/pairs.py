@@ -195,17 +195,34 @@ class SuffixAutomaton:
         return sum(covered) / self.size if self.size else 0.0
 
 
+def _may_cover(a: str, b: str, least: int) -> bool:
+    """Whether substrings of ``least`` characters that ``b`` has too hold COPIED_SHARE of ``a``; where they don't, no
+    coverage is as large. Ends as soon as too much of ``a`` is missed."""
+    grams: set[str] = set()
+    missed, reached, most = 0, 0, len(a) - COPIED_SHARE * len(a) + 1e-6
+    for i in range(len(a)):
+        gram = a[i : i + least]
+        if len(gram) == least and (gram in grams if grams else gram in b):
+            reached = i + least
+        elif i >= reached:
+            missed += 1
+            if missed > most:
+                return False
+        if i == 200:  # a long text: look up instead of searching
+            grams = {b[k : k + least] for k in range(len(b) - least + 1)}
+    return True
+
+
 def is_copy(prompt: str, response: str) -> bool:
     """Whether the response repeats all or nearly all of a prompt of LEAST_COPIED code points or more."""
     prompt = prompt.strip()
-    if len(prompt) < LEAST_COPIED or len(response) < COPIED_SHARE * 0.9 * len(prompt):
+    if len(prompt) < LEAST_COPIED:
         return False
     a, b = _BLANKS.sub(" ", prompt).lower(), _BLANKS.sub(" ", response).lower()
-    if a not in b:
-        words = set(a.split())
-        if " " in a and len(words & set(b.split())) < 0.5 * len(words):
-            return False  # too few common words for that coverage
-    return SuffixAutomaton(a).coverage(b, min(LEAST_MATCH, len(a))) >= COPIED_SHARE
+    if len(b) < COPIED_SHARE * 0.9 * len(a):
+        return False
+    least = min(LEAST_MATCH, len(a))
+    return a in b or _may_cover(a, b, least) and SuffixAutomaton(a).coverage(b, least) >= COPIED_SHARE
 
 
 def _open_delimiters(text: str) -> bool:

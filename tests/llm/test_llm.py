@@ -147,6 +147,26 @@ def test_pairs_table(spark):
     assert {tuple(r) for r in pairs.broken_pairs(df, ["k"], "text", "summary").collect()} == {("b", "truncated"), ("e", "empty")}
 
 
+def test_copy_with_other_blanks():
+    parts = ["本节讨论低秩估计量与边界条件之间的关系并比较", "随机谱和分层算子在多阶段控制器中的不同稳定性"]
+    assert pairs.is_copy("\n".join(parts), "".join(parts))
+    assert pairs.is_copy(LONG.replace(" ", " " * 9), LONG)
+    assert not pairs.is_copy("\n".join(parts), parts[0])
+
+
+def test_copies_pass_the_filter():
+    rng = random.Random(6)
+    seen = set()
+    for _ in range(300):
+        a = "".join(rng.choice("ab ") for _ in range(rng.randint(5, 300)))
+        at = rng.randint(0, len(a))
+        b = a[:at] + "c" + a[at + rng.randint(0, len(a) // 4) :]
+        whole = pairs.SuffixAutomaton(a).coverage(b, 5) >= pairs.COPIED_SHARE
+        assert pairs._may_cover(a, b, 5) or not whole
+        seen.add(whole)
+    assert len(seen) == 2
+
+
 @pytest.mark.parametrize("times", [1, 20])
 def test_endings_count_by_case_and_share(spark, times):
     texts = ["The plasma relates to the hierarchy HIE.", "The view is modular. " + "The modular plasma recovers. " * 300, "次に説明する。"]
