@@ -127,8 +127,7 @@ def repair(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     tokens = tokens.where(F.col("form").rlike(r"\p{L}") & ~F.col("token").rlike(r"^\p{Lu}{1,5}$"))
     forms = tokens.groupBy("form").agg(F.count("*").alias("n")).withColumn("sk", skeleton(F.col("form")))
     forms = cut_lineage(forms)
-    best = Window.partitionBy("sk").orderBy(F.desc("n"), "form")
-    frequent = forms.withColumn("r", F.row_number().over(best)).where((F.col("r") <= 3) & (F.col("n") >= LEAST_COUNT)).where(~F.col("form").rlike(r"\d|[†ɑﬀ-ﬆ]"))
+    frequent = forms.where(F.col("n") >= LEAST_COUNT).where(~F.col("form").rlike(r"\d|[†ɑﬀ-ﬆ]"))
     frequent = frequent.select("sk", F.col("form").alias("read"), F.col("n").alias("n_read"))
     odd = F.col("form").rlike(r"[†ɑﬀ-ﬆ]|\p{L}\d+\p{L}|^\d+\p{L}{3,}|\p{L}{3,}\d+$")
     # Of a rare form, two further readings: a doubled i for an n, a six for an accented e.

@@ -274,3 +274,13 @@ def test_scan_repair(spark):
     assert {tuple(r) for r in defects.collect()} == want
     text = scan_repair.paragraphs(fixed).orderBy("paragraph").collect()[-1].text
     assert "the experiment of the plasma is context" in text
+
+
+def test_scan_repair_reads_a_fourth_form(spark):
+    forms = {"first": ("bar", 500), "second": ("bär", 400), "third": ("bàr", 300), "fourth": ("bâr", 200)}
+    lines = ["The plasma paper", ""] + [f"We know that the {word} {form} of the plasma holds." for word, (form, n) in forms.items() for _ in range(n)]
+    lines.append("We know that the fourth bár of the plasma holds.")
+    df = spark.createDataFrame([("d", "\n".join(lines))], "doc_id string, text string")
+    fixed, defects = scan_repair.repair(df, "doc_id", "text")
+    assert {tuple(r) for r in defects.collect()} == {("d", len(lines), "misread")}
+    assert fixed.where(F.col("line_no") == len(lines)).first().fixed == "We know that the fourth bâr of the plasma holds."
