@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from chunkspark.session import cut_lineage
 
 SALTS = 64
+#: The histogram and the plan of each capacity are on the driver.
+MOST_CAPACITIES = 1000
 
 
 class _Available:
@@ -107,14 +109,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, i
 def pack(df: DataFrame, id_col: str, size_col: str, containers: DataFrame) -> DataFrame:
     """``(capacity, container, id, part, parts, size)``: every item of ``df`` in containers of each capacity.
 
-    ``containers(capacity)`` is a small fixed table. An item larger than the capacity is cut into full containers and
-    a rest that is packed as an item (``parts`` > 1); no other item is cut. Items with a null id or with no positive
-    size take no space and have no row. Repeated rows are different items.
+    ``containers(capacity)`` is a small fixed table; more than MOST_CAPACITIES are an error. An item larger than the
+    capacity is cut into full containers and a rest that is packed as an item (``parts`` > 1); no other item is cut.
+    Items with a null id or with no positive size take no space and have no row. Repeated rows are different items.
     """
     spark = df.sparkSession
     items = df.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("total")).where("id is not null and total > 0")
     items = cut_lineage(items)  # sizes may be costly to compute, and are read three times
-    capacities = [r[0] for r in containers.select(F.col("capacity").cast("long")).where("capacity > 0").distinct().orderBy("capacity").limit(1000).collect()]
+    capacities = [r[0] for r in containers.select(F.col("capacity").cast("long")).where("capacity > 0").distinct().orderBy("capacity").limit(MOST_CAPACITIES + 1).collect()]
+    if len(capacities) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities; each is planned on the driver")
     if not capacities:
         return items.selectExpr("0L as capacity", "0L as container", "id", "0L as part", "1L as parts", "total as size").limit(0)
     items = items.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in capacities])))

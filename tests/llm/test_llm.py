@@ -220,6 +220,12 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), "id", "n", spark.createDataFrame([(10,)], "capacity int")).count() == 0
 
 
+def test_pack_drops_no_capacity(spark):
+    df = spark.createDataFrame([(1, 3)], "id int, n int")
+    with pytest.raises(ValueError, match="capacities"):
+        packing.pack(df, "id", "n", spark.range(5, 1006).withColumnRenamed("id", "capacity"))
+
+
 def test_pivotal_keeps_the_sum():
     rng = random.Random(4)
     for p in (0.1, 0.5, 0.93):
