@@ -123,6 +123,14 @@ def _dominant(words: list[str]) -> float:
     return max(_coverage(words, n) for n in (2, 3, 4))
 
 
+def _repeated(words: list[str], n: int = 8) -> float:
+    """Share of the n-grams that occur more than twice: long passages again and again, on one line or on many."""
+    if len(words) < 3 * n:
+        return 0.0
+    grams = Counter(zip(*(words[i:] for i in range(n))))
+    return sum(k for k in grams.values() if k > 2) / (len(words) - n + 1)
+
+
 def _text_kind(text: str, words: list[str], coverage: float | None) -> str:
     """``prose``, ``list`` or ``junk`` for the lines that are no table, entry or chrome on their own; ``words`` are
     those of the text, ``coverage`` that of its dominant n-gram if it is known."""
@@ -158,6 +166,8 @@ def _text_kind(text: str, words: list[str], coverage: float | None) -> str:
     if len(words) >= 12:
         if (_dominant(words) if coverage is None else coverage) > 0.35 or len(set(words)) < 12 and len(set(words)) < 0.08 * len(words):
             return "junk"
+        if len(set(words)) < 0.5 * len(words) and _repeated(words) > 0.5:
+            return "junk"
     stops = len(_STOPS.findall(text))
     if sum(map(text.count, ";|•·、,/")) >= max(5, 6 * stops):
         pieces = [p for p in _SEPARATED.split(text.strip()) if p]
@@ -214,7 +224,8 @@ def statistics(text: str) -> dict[str, float | int | str]:
             body = "\n".join(rest)
             whole = len(rest) == len(lines)
             sizes[_text_kind(body, words if whole else _SPACED_WORD.findall(body.lower()), out["top_ngram"] if whole else None)] += sum(len(x.strip()) for x in rest)
-        if out["duplicate_lines"] > 0.6 and len(lines) > 4:  # the same few lines again and again
+        same = out["duplicate_lines"] > 0.6 and len(lines) > 4 or out["duplicate_paragraphs"] > 0.6 and len(paragraphs) > 2
+        if same:  # the same few lines or paragraphs again and again
             sizes = {"prose": 0, "list": 0, "table": 0, "junk": max(1, sum(sizes.values()))}
         elif sizes["list"] > 0 and sizes["list"] >= sizes["table"] and len(words) > 30 and out["top_ngram"] > 0.5:
             sizes["junk"] += sizes["list"]

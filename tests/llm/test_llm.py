@@ -264,6 +264,13 @@ def test_quality(text, kind):
     assert quality.statistics(text)["kind"] == kind
 
 
+@pytest.mark.parametrize("between", [" ", "\n\n"])
+def test_long_repetition_is_junk(between):
+    sentence = "We show that the low-rank plasma of every modular reactor is stable under mild assumptions on its boundary."
+    assert quality.statistics(between.join([sentence] * 6))["kind"] == "junk"
+    assert quality.statistics(sentence)["kind"] == "prose"
+
+
 def test_quality_table(spark):
     df = spark.createDataFrame([(1, None), (2, "x"), (2, "x")], "id int, text string").withColumn("kind", F.lit(0))
     assert quality.text_statistics(df, ["id"], "text").count() == 3
