@@ -124,11 +124,15 @@ def _dominant(words: list[str]) -> float:
 
 
 def _repeated(words: list[str], n: int = 8) -> float:
-    """Share of the n-grams that occur more than twice: long passages again and again, on one line or on many."""
+    """Share of the n-grams that occur more than twice: long passages again and again, on one line or on many.
+    0 where it cannot be above a half."""
     if len(words) < 3 * n:
         return 0.0
+    most = len(words) - n + 1
+    if 2 * sum(k for k in Counter(words).values() if k > 2) <= most:
+        return 0.0  # each of these n-grams begins with a word that occurs more than twice: they are at most half
     grams = Counter(zip(*(words[i:] for i in range(n))))
-    return sum(k for k in grams.values() if k > 2) / (len(words) - n + 1)
+    return sum(k for k in grams.values() if k > 2) / most
 
 
 def _text_kind(text: str, words: list[str], coverage: float | None) -> str:
@@ -166,7 +170,7 @@ def _text_kind(text: str, words: list[str], coverage: float | None) -> str:
     if len(words) >= 12:
         if (_dominant(words) if coverage is None else coverage) > 0.35 or len(set(words)) < 12 and len(set(words)) < 0.08 * len(words):
             return "junk"
-        if len(set(words)) < 0.5 * len(words) and _repeated(words) > 0.5:
+        if _repeated(words) > 0.5:
             return "junk"
     stops = len(_STOPS.findall(text))
     if sum(map(text.count, ";|•·、,/")) >= max(5, 6 * stops):
