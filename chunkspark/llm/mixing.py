@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chunkspark.session import cut_lineage
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 FAN_IN = 256
 _ROWS = "mix_id string, source string, block long, id {id}, tokens long, p double, extra int"
 
@@ -71,8 +71,9 @@ def mix(df: DataFrame, id_col: str, source_col: str, size_col: str, targets: Dat
     """``(copies, report)`` for the mixes of ``targets(mix_id, source, target_share, max_repeats)``.
 
     ``copies(mix_id, id, source, tokens, copies)`` holds the documents with at least one copy; ``report(mix_id,
-    source, target_share, max_repeats, available, budget, wanted, actual, actual_share, reachable)`` one row per row
-    of ``targets``. Documents with a null source, id or size are left out; those without tokens have no copies. A
+    source, target_share, max_repeats, available, budget, wanted, actual, budget_share, actual_share, reachable)`` one row
+    per row of ``targets``: ``budget_share`` is the share of the budget, which meets the target wherever it is reachable;
+    ``actual_share`` that of what the mix holds, larger where other sources fall short, as nothing takes their place. Documents with a null source, id or size are left out; those without tokens have no copies. A
     source without documents has 0 available and reaches its share only if that is 0. The same seed gives the same mix.
     """
     kind = df.select(id_col).dtypes[0][1]
@@ -83,7 +84,6 @@ def mix(df: DataFrame, id_col: str, source_col: str, size_col: str, targets: Dat
     wanted = wanted.join(stock, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     budget = wanted.groupBy("mix_id").agg(F.sum("available").alias("budget"))
     wanted = wanted.join(budget, "mix_id").withColumn("wanted", F.col("target_share") * F.col("budget"))
-    wanted = wanted.withColumn("reachable", F.col("wanted") <= F.col("max_repeats") * F.col("available"))
     wanted = wanted.withColumn("each", F.when(F.col("available") > 0, F.least(F.col("wanted") / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(0.0))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS)).cast("long")
     parts = docs.join(wanted.where("each > 0").select("mix_id", "source", "each", blocks.alias("blocks")), "source")
@@ -94,6 +94,8 @@ def mix(df: DataFrame, id_col: str, source_col: str, size_col: str, targets: Dat
     decided = None
     while True:
         out = open_rows.groupBy("mix_id", "source", "block").applyInPandas(_round_block(seed, left == 1), _ROWS.format(id=kind))
+        if left > 1:
+            out = cut_lineage(out)  # both its decided and its open rows are read, the latter by all later levels
         done = out.where("extra is not null")
         decided = done if decided is None else decided.unionByName(done)
         if left == 1:
@@ -105,9 +107,12 @@ def mix(df: DataFrame, id_col: str, source_col: str, size_col: str, targets: Dat
     copies = copies.select("mix_id", "id", "source", "tokens", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies")).where("copies > 0")
     given = copies.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("actual"))
     total = given.groupBy("mix_id").agg(F.sum("actual").alias("of"))
-    report = wanted.join(given, ["mix_id", "source"], "left").join(total, "mix_id", "left")
+    report = wanted.join(given, ["mix_id", "source"], "left").join(total, "mix_id", "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    # A source is out of reach if all its allowed copies are in the mix and are still too few.
+    short = (F.col("actual") >= F.col("max_repeats") * F.col("available")) & (F.col("wanted") > F.col("actual"))
     report = report.select(
-        "mix_id", F.col("listed").alias("source"), "target_share", "max_repeats", "available", "budget", "wanted",
-        F.coalesce("actual", F.lit(0)).alias("actual"), F.round(F.coalesce(F.col("actual") / F.col("of"), F.lit(0.0)), 6).alias("actual_share"), "reachable",
+        "mix_id", F.col("listed").alias("source"), "target_share", "max_repeats", "available", "budget", "wanted", "actual",
+        F.round(F.coalesce(F.try_divide("actual", "budget"), F.lit(0.0)), 6).alias("budget_share"),
+        F.round(F.coalesce(F.try_divide("actual", "of"), F.lit(0.0)), 6).alias("actual_share"), (~short).alias("reachable"),
     )
     return copies, report

@@ -5,7 +5,7 @@ are: while items are left, the largest opens a container, and the gap is filled
 sizes looked up in the index of available sizes and of their pair sums; where no such combination exists, the
 largest fitting size goes in (best fit) and the search goes on with the rest of the gap. A plan line says "this
 multiset of sizes, so many times", so the plan is bounded by the number of sizes too. Items then find their container
-by their rank among the items of their size, counted in salted parts so that no size makes a hot group.
+by their rank among the items of their size, counted in parts of about PART_ROWS so that no size makes a hot group.
 """
 
 from __future__ import annotations
@@ -19,55 +19,66 @@ from pyspark.sql.window import Window
 
 from chunkspark.session import cut_lineage
 
-SALTS = 64
+#: Items of one size that are sorted together.
+PART_ROWS = 100_000
 #: The histogram and the plan of each capacity are on the driver.
 MOST_CAPACITIES = 1000
 
 
 class _Available:
-    """Counts of the sizes still to place, with an index of their pair sums."""
+    """Counts of the sizes still to place, and the index of their sums: which sizes, pairs and triples fill a gap.
+
+    ``_first[g]`` is a size that makes ``g`` with one other, ``_third[g]`` one that makes it with a pair. Sizes only
+    vanish, so an entry is checked when it is used: one that has become void is looked for again among the sizes that
+    are left, and a sum that once has no combination never gets one.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int) -> None:
         self.n = np.zeros(capacity + 1, np.int64)
         for size, n in counts.items():
             self.n[size] = n
-        self._pairs: np.ndarray | None = None
-        self._age = 0
+        sizes = np.flatnonzero(self.n)
+        self._first = np.zeros(capacity + 1, np.int64)
+        for s in sizes[::-1]:  # smaller sizes overwrite: the most unequal pair stays
+            sums = s + (sizes if self.n[s] > 1 else sizes[sizes != s])
+            self._first[sums[sums <= capacity]] = s
+        self._third = np.zeros(capacity + 1, np.int64)
+        pairs = np.flatnonzero(self._first)
+        for s in sizes:  # larger sizes overwrite
+            sums = s + pairs
+            self._third[sums[sums <= capacity]] = s
 
     def largest(self, most: int) -> int:
         """The largest available size up to ``most``, 0 if none."""
         found = np.flatnonzero(self.n[: most + 1])
         return int(found[-1]) if len(found) else 0
 
-    def take(self, size: int, n: int) -> None:
-        self.n[size] -= n
-        self._age += self.n[size] == 0
-
     def pair(self, gap: int) -> tuple[int, int] | None:
-        """Two available sizes that add up to ``gap``, the most unequal first."""
-        a = np.arange(1, gap // 2 + 1)
-        ok = (self.n[a] > 0) & (self.n[gap - a] > np.where(2 * a == gap, 1, 0))
-        at = np.flatnonzero(ok)
-        return (int(a[at[0]]), gap - int(a[at[0]])) if len(at) else None
-
-    def pair_sums(self) -> np.ndarray:
-        """Sums that two sizes had when the index was last built; sizes only vanish, so it never misses one."""
-        if self._pairs is None or self._age > 256:
-            there = self.n > 0
-            sizes, length = np.flatnonzero(there), len(self.n)
-            self._pairs, self._age = np.zeros(length, bool), 0
-            for s in sizes:
-                self._pairs[s:] |= there[: length - s]
-        return self._pairs
+        """Two available sizes that add up to ``gap``."""
+        a = int(self._first[gap])
+        if not a:
+            return None
+        if self.n[a] > 0 and self.n[gap - a] > (2 * a == gap):
+            return a, gap - a
+        x = np.arange(1, gap // 2 + 1)
+        at = np.flatnonzero((self.n[x] > 0) & (self.n[gap - x] > (2 * x == gap)))
+        self._first[gap] = a = int(x[at[0]]) if len(at) else 0
+        return (a, gap - a) if a else None
 
     def triple(self, gap: int) -> tuple[int, int, int] | None:
-        third = np.flatnonzero((self.n[: gap + 1] > 0) & self.pair_sums()[gap::-1][: gap + 1])
-        for c in third[::-1].tolist():
-            self.n[c] -= 1
-            found = self.pair(gap - c) if gap > c else None
-            self.n[c] += 1
-            if found:
-                return (*found, c)
+        """Three available sizes that add up to ``gap``."""
+        c = int(self._third[gap])
+        while c:
+            if self.n[c] > 0:
+                self.n[c] -= 1
+                found = self.pair(gap - c)
+                self.n[c] += 1
+                if found:
+                    self._third[gap] = c
+                    return (*found, c)
+            rest = np.flatnonzero((self.n[:c] > 0) & (self._first[gap - np.arange(c)] > 0))
+            c = int(rest[-1]) if len(rest) else 0
+        self._third[gap] = 0
         return None
 
     def complement(self, gap: int) -> tuple[int, ...] | None:
@@ -101,7 +112,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, i
             left.n[s] += k
         times = min(int(left.n[s]) // k for s, k in each.items())
         for s, k in each.items():
-            left.take(s, k * times)
+            left.n[s] -= k * times
         lines.append((tuple(sorted(each.items())), times))
     return lines
 
@@ -125,9 +136,7 @@ def pack(df: DataFrame, id_col: str, size_col: str, containers: DataFrame) -> Da
     items = items.withColumn("parts", F.expr("(total + capacity - 1) div capacity"))
     items = items.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
     items = items.withColumn("size", F.least(F.col("capacity"), F.col("total") - F.col("part") * F.col("capacity")))
-    items = items.withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.lit(SALTS)))
-    cells = items.groupBy("capacity", "size", "salt").agg(F.count("*").alias("n"))
-    histogram = cells.groupBy("capacity", "size").agg(F.sum("n").alias("n")).collect()  # at most sum(capacities) rows
+    histogram = items.groupBy("capacity", "size").agg(F.count("*").alias("n")).collect()  # at most sum(capacities) rows
     slots, opened, used = [], 0, Counter()
     for capacity in capacities:
         opened = 0
@@ -138,6 +147,11 @@ def pack(df: DataFrame, id_col: str, size_col: str, containers: DataFrame) -> Da
                 slots.append((capacity, size, first, first + k * times, opened, k))
             opened += times
     lines = spark.createDataFrame(slots or [(0, 0, 0, 0, 0, 1)], "capacity long, size long, first long, stop long, opened long, each long")
+    # Sizes with more than PART_ROWS items are ranked in parts; the others are part 0.
+    hot = [(r["capacity"], r["size"], -(-r["n"] // PART_ROWS)) for r in histogram if r["n"] > PART_ROWS]
+    hot = F.broadcast(spark.createDataFrame(hot or [(0, 0, 1)], "capacity long, size long, salts long"))
+    items = items.join(hot, ["capacity", "size"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.coalesce("salts", F.lit(1))))
+    cells = items.groupBy("capacity", "size", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("capacity", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select("capacity", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     order = Window.partitionBy("capacity", "size", "salt").orderBy("id", "part")

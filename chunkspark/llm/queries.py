@@ -85,7 +85,7 @@ def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _mixed(spark, folder)[1].where("not reachable and actual_share is not null").select("mix_id", "source")
+    return _mixed(spark, folder)[1].where("not reachable").select("mix_id", "source")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
