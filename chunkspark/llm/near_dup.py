@@ -1,20 +1,22 @@
 """Near-duplicate records (problem 2): an exact Jaccard join on word shingles behind pigeonring filters.
 
-The shingle set of a record is its indicator vector, so Jaccard(x, y) >= t holds exactly when
-``|x| + |y| - 2 * alpha`` bounds the Hamming distance of the two vectors, with
-``alpha = ceil(t / (1 + t) * (|x| + |y|))`` the least overlap. The plan:
-
-1. A count table of fixed size (2**SKETCH_BITS one-byte cells) is summed over *all* records. It never counts too
-   little, so a cell of 1 proves a shingle to be unique: such shingles join nothing and are left out, and a record
-   with too many of them can have no partner at all. Otherwise the table only orders shingles, rarest first; any order
-   gives the same result.
-2. Each distinct text sends the shingles of its rare-first prefix (prefix principle: two similar sets share a shingle
-   there). Shingles above HOT occurrences are salted: one home row, and copies for the other salts.
-3. The join on the shingle keeps a pair only if both positions fit the pair's own prefix and if the pair passes the
-   pigeonring test: the universe of shingles is cut into a ring of BOXES segments, each with a parity sketch of
-   BOX_BITS bits whose Hamming distance never exceeds the segment's true one. With budget n for the whole ring, some
-   start must exist from which every chain of l consecutive boxes differs in at most l * n / BOXES places.
-4. Survivors (few) are checked exactly against their texts.
+The shingle set of a record is its indicator vector, so Jaccard(x, y) >= p/q holds exactly when the Hamming distance D
+of the two vectors has ``(p + q) * D <= (q - p) * (|x| + |y|)``. The universe of shingles is cut by hash into a ring
+of BOXES segments with the distances D_i and a proportional budget for each: ``(q - p) * (|x_i| + |y_i|)`` for
+``(p + q) * D_i``. As the sums over the ring keep the whole budget, some segment exists from which every chain of
+consecutive segments stays within the sum of its budgets, and one of these segments is not empty (the pigeonring
+principle). The plan:
+
+1. A count table of all shingles of *all* records (see ``count_table``). It never counts too little, so a cell of 1
+   proves a shingle to be unique: such shingles join nothing and are left out, and a record with too many of them can
+   have no partner at all. Otherwise the table only orders shingles, rarest first; any order gives the same result.
+2. The index: where a chain starts, the two segments have Jaccard p/q themselves, so they share a shingle of the
+   rare-first prefix of that segment. Each distinct text sends these shingles with parity sketches of 64 bits of their
+   segment and of the next one; the Hamming distance of two sketches is never above that of the segments. Shingles
+   above HOT occurrences are spread over pairs of classes of rows.
+3. The join on the shingle makes a candidate of a pair only if both positions fit the pair's own prefix in the segment
+   and if the chains of one and of CHAIN = 2 segments from there stay within their budgets.
+4. The full Hamming check of the candidates against their texts.
 
 Nothing is sampled or capped; every filter is a necessary condition. Copies of a text are one record until the end.
 """
@@ -22,7 +24,7 @@ Nothing is sampled or capped; every filter is a necessary condition. Copies of a
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -34,14 +36,15 @@ from pyspark.sql import functions as F
 from chunkspark.llm.unicode_text import words
 from chunkspark.session import cut_lineage
 
-SKETCH_BITS = 23
+#: Logarithm of the cells of a table: as many as there are code points per CHARS_PER_CELL, within these bounds, so the
+#: broadcast is 64 MB at most. With more shingles than that the order of the index is coarser; nothing else changes.
+LEAST_BITS, MOST_BITS = 16, 26
+CHARS_PER_CELL = 24
 SLICES = 64
+FAN_OUT = 16
 BOXES = 8
-BOX_BITS = 16
-HOT = 2000
-#: Buckets of the semi-join that holds back texts without a candidate: the broadcast has at most this many rows.
-BUCKETS = 1 << 18
-_EXACT = 128  # counts up to here are kept as they are, larger ones by their logarithm
+HOT = 20_000
+_EXACT = 128  # counts below are kept as they are, larger ones by their logarithm
 
 
 class _Hashes(dict):
@@ -98,99 +101,161 @@ def _strings(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def table_bits(rows: DataFrame, text_col: str) -> int:
+    """Logarithm of the table's size for the texts of ``rows``."""
+    chars = rows.agg(F.sum(F.length(text_col).cast("long")).alias("n")).first()["n"] or 0
+    return min(MOST_BITS, max(LEAST_BITS, int(chars // CHARS_PER_CELL).bit_length()))
+
+
+def _cells(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def encode_counts(counts: np.ndarray) -> np.ndarray:
-    """One byte per count: exact up to _EXACT, then eighths of powers of two, saturating."""
-    high = _EXACT + np.floor(8 * np.log2(np.maximum(counts, _EXACT) / _EXACT)).astype(np.int64)
+    """One byte per count: exact below _EXACT, then quarters of powers of two, up to about 2**38."""
+    high = _EXACT + np.floor(4 * np.log2(np.maximum(counts, _EXACT) / _EXACT)).astype(np.int64)
     return np.where(counts <= _EXACT, counts, np.minimum(high, 255)).astype(np.uint8)
 
 
 def decode_counts(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes <= _EXACT, codes, np.ceil(_EXACT * 2.0 ** ((codes.astype(np.float64) - _EXACT + 1) / 8))).astype(np.int64)
+    """The largest count of a code."""
+    return np.where(codes < _EXACT, codes, np.ceil(_EXACT * 2.0 ** ((codes.astype(np.float64) - _EXACT + 1) / 4))).astype(np.int64)
+
+
+def _packed(at: np.ndarray, value: np.ndarray) -> bytes:
+    planes = (np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes() for x in (np.diff(at, prepend=0), value))
+    return zlib.compress(b"".join(planes), 1)
+
+
+def _unpacked(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    steps, value = (np.ascontiguousarray(raw[i * 4 * n : (i + 1) * 4 * n].reshape(4, n).T).view("<u4").ravel() for i in (0, 1))
+    return np.cumsum(steps, dtype=np.int64), value
+
+
+_PART = "slice int, n int, data binary"
+_MOST = np.uint64(2**32 - 1)
 
 
-def _count_partition(k: int, least_words: int):
+def _slices(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    width = len(total) // SLICES
+    for s in range(SLICES):
+        part = total[s * width : (s + 1) * width]
+        at = np.flatnonzero(part)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([_packed(at, part[at])], pa.binary())], ["slice", "n", "data"])
+
+
+def _sum_slices(bits: int, last: bool):
+    """Sums of the parts of each slice; in the ``last`` step as one byte per cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        totals: dict[int, np.ndarray] = {}  # at most SLICES arrays, together as wide as the table
         for batch in batches:
-            _, h, _ = shingles(_strings(batch, "text"), k, least_words)
-            if len(h):
-                cells, n = np.unique(_cells(h), return_counts=True)
-                total[cells] += n.astype(np.uint32)
-        width = len(total) // SLICES
-        for s in range(SLICES):
-            part = total[s * width : (s + 1) * width]
-            if part.any():
-                at = np.flatnonzero(part).astype(np.uint32)
-                data = zlib.compress(np.diff(at, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + part[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([data], pa.binary())], ["slice", "n", "data"])
+            for s, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                at, value = _unpacked(n, data)
+                total = totals.setdefault(s, np.zeros((1 << bits) // SLICES, np.uint64))
+                total[at] += value
+        for s, total in totals.items():
+            at = np.flatnonzero(total)
+            data = zlib.compress(encode_counts(total.astype(np.int64)).tobytes(), 1) if last else _packed(at, np.minimum(total[at], _MOST))
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(at)], pa.int32()), pa.array([data], pa.binary())], ["slice", "n", "data"])
 
     return run
 
 
-def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    width = (1 << SKETCH_BITS) // SLICES
-    totals: dict[int, np.ndarray] = {}  # at most SLICES arrays of fixed width
-    for batch in batches:
-        for s, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = np.frombuffer(zlib.decompress(data), np.uint8)
-            at = np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel(), dtype=np.int64)
-            value = np.ascontiguousarray(raw[4 * n :].reshape(4, n).T).view("<u4").ravel()
-            total = totals.setdefault(s, np.zeros(width, np.uint64))
-            total[at] += value
-    for s, total in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(encode_counts(total.astype(np.int64)).tobytes(), 1)], pa.binary())], ["slice", "data"])
-
-
-def shingle_counts(texts: DataFrame, k: int, least_words: int) -> np.ndarray:
-    """The count table over all rows of ``texts(text)``: 2**SKETCH_BITS bytes, however many rows there are."""
-    parts = texts.mapInArrow(_count_partition(k, least_words), "slice int, n int, data binary")
-    rows = parts.repartition(SLICES // 4, "slice").mapInArrow(_sum_slices, "slice int, data binary").collect()  # at most SLICES rows
-    table = np.zeros(1 << SKETCH_BITS, np.uint8)
+def count_table(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """How often the cells of 2**bits occur among the hashes of all batches of ``rows``, one byte per cell.
+
+    Each task counts its batches; the parts of a slice are summed in a tree of two levels (FAN_OUT groups of tasks,
+    then all), so no task reads the parts of all tasks. The result goes to the driver: 2**MOST_BITS bytes at most.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            h = hashes(batch)
+            if len(h):
+                cells, n = np.unique(_cells(h, bits), return_counts=True)
+                total[cells] += n.astype(np.uint32)
+        yield from _slices(total)
+
+    parts = rows.mapInArrow(count, _PART).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(FAN_OUT)))
+    some = parts.repartition("slice", "group").select("slice", "n", "data").mapInArrow(_sum_slices(bits, False), _PART)
+    table = np.zeros(1 << bits, np.uint8)
     width = len(table) // SLICES
-    for row in rows:
+    for row in some.repartition("slice").mapInArrow(_sum_slices(bits, True), _PART).collect():  # at most SLICES rows
         table[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["data"]), np.uint8)
     return table
 
 
+def _once(batch: pa.RecordBatch, seen: set[int]) -> list[str | None]:
+    """The texts of a batch, without those that this task had before."""
+    if len(seen) > 2_000_000:  # forgetting only costs repeated rows, which are dropped after the exchange
+        seen.clear()
+    texts = _strings(batch, "text")
+    for i, h in enumerate(batch.column(batch.schema.get_field_index("h")).to_pylist()):
+        if h in seen:
+            texts[i] = None
+        else:
+            seen.add(h)
+    return texts
+
+
+def shingle_counts(texts: DataFrame, k: int, least_words: int, bits: int) -> np.ndarray:
+    """The count table of the shingles of ``texts(h, text)``."""
+    seen: set[int] = set()  # each task has its own copy
+    return count_table(texts, lambda batch: shingles(_once(batch, seen), k, least_words)[1], bits)
+
+
+COLUMNS = "token long, id long, m1 long, m2 long, s1 long, s2 long"
+
+
 def prefix_rows(texts: list[str | None], ids: np.ndarray, codes: np.ndarray, k: int, least_words: int, t: Fraction) -> dict[str, np.ndarray]:
-    """The rows that a batch sends into the join: token, id, meta (set size, position, home), ring sketch."""
+    """The index rows of a batch: token, id, size of the set, place in the segment's prefix and class flag (m1), sizes
+    of the segment and of the next one (m2), and the sketches of both."""
     doc, h, _ = shingles(texts, k, least_words)
-    none = {c: np.empty(0, np.int64) for c in ("token", "id", "meta", "s1", "s2")}
     if not len(h):
-        return none
-    code = codes[_cells(h)]
-    order = np.lexsort((h, code, doc))
-    h, code = h[order], code[order]
+        return {c.split()[0]: np.empty(0, np.int64) for c in COLUMNS.split(", ")}
+    code = codes[_cells(h, len(codes).bit_length() - 1)]
+    box = (h & np.uint64(BOXES - 1)).astype(np.int64)
     start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    which = np.cumsum(np.r_[False, doc[1:] != doc[:-1]])
     size = np.diff(np.r_[start, len(doc)])
-    which = np.repeat(np.arange(len(start)), size)
-    pos = np.arange(len(doc)) - start[which]
     p, q = t.numerator, t.denominator
     must = (p * size + q - 1) // q  # least overlap with any partner
-    alone = np.add.reduceat((code <= 1).astype(np.int64), start)
-    may = size - alone >= must
-    bit = (h & np.uint64(BOXES * BOX_BITS - 1)).astype(np.uint64)
-    one = np.uint64(1)
-    s1 = np.bitwise_xor.reduceat(np.where(bit < 64, one << (bit & np.uint64(63)), np.uint64(0)), start)
-    s2 = np.bitwise_xor.reduceat(np.where(bit >= 64, one << (bit & np.uint64(63)), np.uint64(0)), start)
-    keep = np.flatnonzero((pos <= (size - must)[which]) & (code > 1) & may[which])
-    token, at, position = h[keep].view(np.int64), which[keep], pos[keep]
-    own = ids[doc[start]][at]
-    salts = np.maximum(1, -(-decode_counts(code[keep]) // HOT))
-    home = np.where(salts > 1, own.view(np.uint64) % salts.astype(np.uint64), 0).astype(np.int64)
-    rep = np.repeat(np.arange(len(keep)), salts)
-    salt = np.arange(len(rep)) - np.repeat(np.cumsum(salts) - salts, salts)
+    may = size - np.add.reduceat((code <= 1).astype(np.int64), start) >= must
+    cell = which * BOXES + box
+    order = np.lexsort((h, code, cell))
+    h, code, cell = h[order], code[order], cell[order]
+    sizes = np.bincount(cell, minlength=len(start) * BOXES)
+    begin = np.cumsum(sizes) - sizes
+    sketch = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    sketch[some] = np.bitwise_xor.reduceat(np.uint64(1) << ((h >> np.uint64(3)) & np.uint64(63)), begin[some])
+    pos = np.arange(len(h)) - begin[cell]
+    least = (p * sizes + q - 1) // q
+    keep = np.flatnonzero((pos <= (sizes - least)[cell]) & (code > 1) & may[cell // BOXES])
+    token, at, position = h[keep].view(np.int64), cell[keep], pos[keep]
+    own = ids[doc[start]][at // BOXES]
+    # A hot token has classes of rows of about HOT each; a row goes to the cells of its class with each class, and two
+    # rows meet in one cell: flag 2 where both classes are the same, else 0 and 1 by their order.
+    classes = np.maximum(1, -(-decode_counts(code[keep]) // HOT))
+    mine = np.where(classes > 1, own.view(np.uint64) % classes.astype(np.uint64), 0).astype(np.int64)
+    rep = np.repeat(np.arange(len(keep)), classes)
+    other = np.arange(len(rep)) - np.repeat(np.cumsum(classes) - classes, classes)
+    mine, at = mine[rep], at[rep]
+    low, high = np.minimum(mine, other), np.maximum(mine, other)
+    flag = np.where(mine == other, 2, (mine > other).astype(np.int64))
+    following = at // BOXES * BOXES + (at + 1) % BOXES
     with np.errstate(over="ignore"):
         return {
-            "token": token[rep] + salt * np.int64(0x1F123BB5159A55E5),
+            "token": token[rep] + low * np.int64(0x1F123BB5159A55E5) + high * np.int64(0x2545F4914F6CDD1D),
             "id": own[rep],
-            "meta": (size[at][rep] << 24) | (position[rep] << 1) | (salt == home[rep]),
-            "s1": s1[at][rep].view(np.int64),
-            "s2": s2[at][rep].view(np.int64),
+            "m1": (size[at // BOXES] << 32) | (position[rep] << 2) | flag,
+            "m2": (sizes[at] << 32) | sizes[following],
+            "s1": sketch[at].view(np.int64),
+            "s2": sketch[following].view(np.int64),
         }
 
 
@@ -199,61 +264,44 @@ def _prefix_partition(table, k: int, least_words: int, t: Fraction):
         codes = table.value
         seen: set[int] = set()
         for batch in batches:
-            texts, ids = _strings(batch, "text"), batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False)
-            if len(seen) > 2_000_000:  # forgetting only costs repeated rows, which are dropped after the exchange
-                seen.clear()
-            for i, h in enumerate(ids.tolist()):
-                if h in seen:
-                    texts[i] = None
-                else:
-                    seen.add(h)
-            rows = prefix_rows(texts, ids, codes, k, least_words, t)
+            ids = batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False)
+            rows = prefix_rows(_once(batch, seen), ids, codes, k, least_words, t)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in rows.values()], list(rows))
 
     return run
 
 
-def pigeonring(boxes: np.ndarray, budget: np.ndarray) -> np.ndarray:
-    """Rows of ``boxes`` (pairs x m) for which some start of the ring has every chain within its proportional budget:
-    the sum of its first l boxes is at most l * budget / m, for each l from 1 to m."""
-    m = boxes.shape[1]
-    around = np.concatenate([np.zeros((len(boxes), 1), np.int64), np.cumsum(np.hstack([boxes, boxes]), axis=1)], axis=1)
-    some = np.zeros(len(boxes), bool)
-    for start in range(m):
-        within = np.ones(len(boxes), bool)
-        for length in range(1, m + 1):
-            within &= (around[:, start + length] - around[:, start]) * m <= budget * length
-        some |= within
-    return some
-
-
-def _ring_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    per_word = 64 // BOX_BITS
-    for batch in batches:
-        a, b, budget, x1, x2 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        boxes = [np.bitwise_count((x.view(np.uint64) >> np.uint64(i * BOX_BITS)) & np.uint64((1 << BOX_BITS) - 1)) for x in (x1, x2) for i in range(per_word)]
-        keep = pigeonring(np.stack(boxes, axis=1).astype(np.int64), budget)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
-
-
-def candidate_pairs(texts: DataFrame, t: Fraction, k: int, least_words: int) -> DataFrame:
-    """Pairs (a, b), a < b, of text hashes of ``texts(h, text)`` that pass every filter; none that is similar is lost."""
-    spark = texts.sparkSession
-    table = spark.sparkContext.broadcast(shingle_counts(texts.select("text"), k, least_words))
-    rows = texts.select("h", "text").mapInArrow(_prefix_partition(table, k, least_words, t), "token long, id long, meta long, s1 long, s2 long")
-    rows = rows.repartition("token").dropDuplicates(["token", "id"])
-    # The smaller set is on the left and at its home salt. Each condition names both sides, so that none is pushed
-    # below the exchange: one exchange then serves both sides.
+def index_rows(texts: DataFrame, t: Fraction, k: int, least_words: int, bits: int) -> DataFrame:
+    """The index of ``texts(h, text)``, each text once."""
+    table = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, k, least_words, bits))
+    rows = texts.select("h", "text").mapInArrow(_prefix_partition(table, k, least_words, t), COLUMNS)
+    return rows.repartition("token").dropDuplicates(["token", "id"])
+
+
+def ring_pairs(rows: DataFrame, t: Fraction, chain: int = 2) -> DataFrame:
+    """Pairs (a, b), a < b, of ids whose index rows meet and whose chains of up to ``chain`` (0 to 2) segments from
+    there stay within their budgets."""
     p, q = t.numerator, t.denominator
-    nl, nr = "shiftright(l.meta, 24)", "shiftright(r.meta, 24)"
-    alpha = f"(({p} * ({nl} + {nr}) + {p + q - 1}) div {p + q})"
-    position = "(shiftright({0}.meta, 1) & 8388607)"
-    budget = f"({nl} + {nr} - 2 * {alpha})"
-    condition = f"""l.token = r.token and ({nl} < {nr} or ({nl} = {nr} and l.id < r.id)) and (l.meta & 1) > least(r.id, 0) * 0
-        and {position.format("l")} <= {nl} - {alpha} and {position.format("r")} <= {nr} - {alpha}
-        and bit_count(l.s1 ^ r.s1) + bit_count(l.s2 ^ r.s2) <= {budget}"""
-    found = rows.alias("l").join(rows.alias("r"), F.expr(condition)).selectExpr("l.id as a", "r.id as b", f"{budget} as budget", "l.s1 ^ r.s1 as x1", "l.s2 ^ r.s2 as x2")
-    return found.mapInArrow(_ring_partition, "a long, b long").distinct()
+    size, place = "shiftright({0}.m1, 32)", "(shiftright({0}.m1, 2) & 1073741823)"
+    n1, n2 = "shiftright({0}.m2, 32)", "({0}.m2 & 2147483647)"
+    both = lambda n: f"({n.format('l')} + {n.format('r')})"
+    # The distance of two segments is at least that of their sketches and of their sizes.
+    far = lambda s, n: f"greatest(bit_count(l.{s} ^ r.{s}), abs({n.format('l')} - {n.format('r')}))"
+    overlap = f"(({p} * {both(n1)} + {p + q - 1}) div {p + q})"
+    flags = "(l.m1 & 3) + (r.m1 & 3)"
+    conditions = [
+        "l.token = r.token",
+        # The smaller set is on the left; the flags are 0 and 1, or 2 and 2. Each condition names both sides, so that
+        # none is pushed below the exchange, and one exchange serves both.
+        f"({flags} = 1 or {flags} = 4)",
+        f"({size.format('l')} < {size.format('r')} or ({size.format('l')} = {size.format('r')} and l.id < r.id))",
+        f"{q} * {size.format('l')} >= {p} * {size.format('r')}",
+        f"{place.format('l')} <= {n1.format('l')} - {overlap} and {place.format('r')} <= {n1.format('r')} - {overlap}",
+        f"{p + q} * {far('s1', n1)} <= {q - p} * {both(n1)}",
+        f"{p + q} * ({far('s1', n1)} + {far('s2', n2)}) <= {q - p} * ({both(n1)} + {both(n2)})",
+    ]
+    found = rows.alias("l").join(rows.alias("r"), F.expr(" and ".join(conditions[: 5 + chain])))
+    return found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
 def _check(k: int, least_words: int, p: int, q: int):
@@ -291,10 +339,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     second = F.xxhash64(F.lit("second"), F.col("text"))
     members = rows.select("id", F.col("h").alias("a"), second.alias("a2")).distinct()
     copies = members.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", F.col("a").alias("b"))
-    pairs = cut_lineage(candidate_pairs(long_enough.select("h", "text"), t, k, least_words).unionByName(copies))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.pmod("x", F.lit(BUCKETS)).alias("bucket")).distinct()
-    texts = long_enough.withColumn("bucket", F.pmod("h", F.lit(BUCKETS))).join(F.broadcast(wanted), "bucket", "left_semi")
-    texts = texts.select("h", second.alias("h2"), "text").dropDuplicates(["h", "h2"])
+    bits = table_bits(long_enough, "text")
+    pairs = cut_lineage(ring_pairs(index_rows(long_enough, t, k, least_words, bits), t).unionByName(copies))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h"))
+    wanted = rows.sparkSession.sparkContext.broadcast(count_table(ends, lambda batch: batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+
+    @F.arrow_udf("boolean")
+    def is_wanted(h: pa.Array) -> pa.Array:
+        return pa.array(wanted.value[_cells(h.to_numpy(zero_copy_only=False).view(np.uint64), bits)] > 0)
+
+    # Only texts with a candidate go on (and a few whose cell is taken by another), before anything is shuffled.
+    texts = long_enough.where(is_wanted("h")).select("h", second.alias("h2"), "text").dropDuplicates(["h", "h2"])
     left, right = (texts.select(F.col("h").alias(c), F.col("h2").alias(f"{c}2"), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").where("a <> b or a2 = b2").select("a", "a2", "b", "b2", "text_a", "text_b")
     links = both.mapInArrow(_check(k, least_words, t.numerator, t.denominator), "a long, a2 long, b long, b2 long, jaccard double")

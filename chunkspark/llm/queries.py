@@ -37,8 +37,8 @@ LIMIT, OVERLAP = 2000, 200
 
 
 def _split(spark: SparkSession, folder: str) -> DataFrame:
-    sections = split_oversized.split_oversized(_table(spark, folder, "section"), ["doc_id", "section_id"], "text", LIMIT, OVERLAP)
-    chunks = split_oversized.split_oversized(_table(spark, folder, "chunk"), ["doc_id", "chunk_id"], "text", LIMIT, OVERLAP)
+    sections = split_oversized.split_oversized(_table(spark, folder, "section"), ["doc_id", "section_id"], "text", LIMIT, OVERLAP, "loaded_at")
+    chunks = split_oversized.split_oversized(_table(spark, folder, "chunk"), ["doc_id", "chunk_id"], "text", LIMIT, OVERLAP, "loaded_at")
     named = [df.withColumnRenamed(key, "item_id").withColumn("kind", F.lit(kind)) for df, key, kind in ((sections, "section_id", "section"), (chunks, "chunk_id", "chunk"))]
     return named[0].unionByName(named[1])
 

@@ -112,32 +112,37 @@ def pieces(text: str, limit: int, overlap: int, least: int | None = None) -> tup
     return coarsest_unit(text, strength, index, limit), out
 
 
+_PIECES = "array<struct<piece:int,start:int,stop:int,cut:string,unit:string,pieces:int>>"
+_ARROW = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("cut", pa.string()), ("unit", pa.string()), ("pieces", pa.int32())]))
+
+
 def _cut(limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            rows = []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 unit, found = pieces(text, limit, overlap)
-                at.extend([i] * len(found))
-                rows.extend((k, s, e, b, unit, len(found)) for k, (s, e, b) in enumerate(found))
-            columns = list(zip(*rows)) or [()] * 6
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32())
-            keys = [batch.column(j).take(pa.array(at, pa.int32())) for j in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(columns, types))], [*batch.schema.names[:-1], "piece", "start", "stop", "cut", "unit", "pieces"])
+                rows.append([{"piece": k, "start": s, "stop": e, "cut": b, "unit": unit, "pieces": len(found)} for k, (s, e, b) in enumerate(found)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, _ARROW)], [*batch.schema.names[:-1], "__pieces"])
 
     return run
 
 
-def split_oversized(df: DataFrame, keys: list[str], text_col: str, limit: int = 2000, overlap: int = 200) -> DataFrame:
-    """``(*keys, piece, start, stop, cut, unit, pieces)``: the pieces of every row of ``df``.
+def split_oversized(df: DataFrame, keys: list[str], text_col: str, limit: int = 2000, overlap: int = 200, version: str | None = None) -> DataFrame:
+    """``(*keys, piece, start, stop, cut, unit, pieces)``: the pieces of every key of ``df``.
 
     Positions are code points; ``unit`` is the coarsest unit that never exceeds the limit in that text (``whole`` if
-    the text itself does not). A key that occurs several times counts once (which of differing texts is open); null
-    and empty texts have no piece. Other columns are ignored. Only texts above the limit reach Python.
+    the text itself does not). A key that occurs several times counts once, with the text of its largest ``version``
+    (such as a time of loading), among equals or without a version the one of the largest hash: its pieces are never
+    those of two texts. Null and empty texts have no piece and no say in this. Other columns are ignored. Only texts
+    above the limit reach Python, and only pieces, not texts, are shuffled.
     """
-    rows = df.select(*keys, F.col(text_col).alias("__text")).where("__text is not null and length(__text) > 0")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    order = F.struct((F.col(version) if version else F.lit(0)).alias("v"), F.xxhash64(text_col).alias("h"))
+    rows = df.select(*keys, order.alias("__order"), F.col(text_col).alias("__text")).where("__text is not null and length(__text) > 0")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, "__order").schema.fields)
     size = F.length("__text")
-    cut = rows.where(size > limit).mapInArrow(_cut(limit, overlap), f"{schema}, piece int, start int, stop int, cut string, unit string, pieces int")
-    whole = rows.where(size <= limit).select(*keys, F.lit(0).alias("piece"), F.lit(0).alias("start"), size.alias("stop"), F.lit("end").alias("cut"), F.lit("whole").alias("unit"), F.lit(1).alias("pieces"))
-    return cut.dropDuplicates([*keys, "piece"]).unionByName(whole.dropDuplicates(keys))
+    cut = rows.where(size > limit).mapInArrow(_cut(limit, overlap), f"{schema}, __pieces {_PIECES}")
+    one = F.array(F.struct(F.lit(0).alias("piece"), F.lit(0).alias("start"), size.alias("stop"), F.lit("end").alias("cut"), F.lit("whole").alias("unit"), F.lit(1).alias("pieces")))
+    whole = rows.where(size <= limit).select(*keys, "__order", one.cast(_PIECES).alias("__pieces"))
+    latest = cut.unionByName(whole).groupBy(*keys).agg(F.max_by("__pieces", "__order").alias("__pieces"))
+    return latest.select(*keys, F.explode("__pieces").alias("__p")).select(*keys, "__p.*")

@@ -4,6 +4,7 @@ import itertools
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,25 +49,64 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dup.expand_pairs(members, links).count() == 0
 
 
-def test_hot_shingles_are_salted(monkeypatch, spark):
+def test_rows_of_a_hot_shingle_meet_once(monkeypatch):
     monkeypatch.setattr(near_dup, "HOT", 4)
-    import numpy as np
-
     texts = [f"a b c d e f g h {i} {i + 1}" for i in range(20)]
-    codes = np.full(1 << near_dup.SKETCH_BITS, 20, np.uint8)
-    rows = near_dup.prefix_rows(texts, np.arange(20), codes, 3, 0, Fraction("0.5"))
-    homes = [m & 1 for m in rows["meta"].tolist()]
-    assert sum(homes) * 5 == len(homes)
-
+    rows = near_dup.prefix_rows(texts, np.arange(20), np.full(1 << 16, 20, np.uint8), 3, 0, Fraction("0.5"))
+    flags, cells = rows["m1"] & 3, {}
+    assert len(rows["token"]) % 5 == 0
+    for token, own, flag in zip(rows["token"].tolist(), rows["id"].tolist(), flags.tolist()):
+        cells.setdefault(token, []).append((own, flag))
+    met = [tuple(sorted((a[0], b[0]))) for rows_ in cells.values() for a, b in itertools.combinations(rows_, 2) if a[1] + b[1] in (1, 4)]
+    shared = {s for s in shingle_set(texts[0], 3) if s in shingle_set(texts[1], 3)}
+    assert len(cells) > 1
+    assert all(0 < n <= len(shared) for n in np.unique(met, axis=0, return_counts=True)[1])
+    assert len(set(met)) == 20 * 19 // 2
+
+
+def test_count_codes():
+    counts = np.array([0, 1, 128, 129, 1000, 10**7, 10**11])
+    codes = near_dup.encode_counts(counts)
+    assert (near_dup.decode_counts(codes) >= counts).all()
+    assert codes[1] == 1
+
+
+def test_counts_of_a_table(spark):
+    df = spark.range(1000, numPartitions=20).select(F.xxhash64(F.col("id") % 10).alias("h"))
+    table = near_dup.count_table(df, lambda batch: batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 16)
+    assert sorted(table[table > 0].tolist()) == [100] * 10
+
+
+def test_the_ring_prunes_and_loses_nothing(spark):
+    rng = random.Random(8)
+    passages = [[f"p{i}w{j}" for j in range(12)] for i in range(40)]
+    texts = {i: sum(rng.sample(passages, 10), []) for i in range(120)}  # all shingles are common, few texts similar
+    for i in range(0, 120, 6):
+        other = list(texts[i])
+        for _ in range(4):
+            other[rng.randrange(len(other))] = f"x{rng.random()}"
+        texts[1000 + i] = other
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "h long, text string")
+    t = Fraction("0.65")
+    index = near_dup.index_rows(df, t, 3, 0, 16).persist()
+    found = [{tuple(r) for r in near_dup.ring_pairs(index, t, chain).collect()} for chain in (0, 1, 2)]
+    sets = {i: shingle_set(" ".join(x), 3) for i, x in texts.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) * 100 >= 65 * len(sets[a] | sets[b])}
+    assert len(want) >= 20
+    assert want <= found[2] < found[1] < found[0]
+    assert len(found[2]) * 2 < len(found[0])
+    index.unpersist()
 
-def test_pigeonring_is_necessary():
-    import numpy as np
 
-    rng = np.random.default_rng(1)
-    boxes = rng.integers(0, 9, (500, 8))
-    total = boxes.sum(axis=1)
-    assert near_dup.pigeonring(boxes, total).all()
-    assert not near_dup.pigeonring(np.full((1, 8), 3), np.array([20])).any()
+def test_chains_of_a_ring():
+    """Some start that is not empty has all its chains within the budgets, whenever the whole ring has."""
+    rng = random.Random(9)
+    for _ in range(500):
+        loads = [rng.choice([0, 0, 2, 5, 9]) for _ in range(8)]
+        far = [rng.randint(0, n) for n in loads]
+        values = [165 * d - 35 * n for d, n in zip(far, loads)]
+        if sum(loads) and sum(values) <= 0:
+            assert any(loads[i] and all(sum((values + values)[i : i + m]) <= 0 for m in range(1, 9)) for i in range(8))
 
 
 def test_pieces_cover_the_text():
@@ -99,6 +139,22 @@ def test_split_table(spark):
     assert len([r for r in rows if r.k == "d"]) == len({r.piece for r in rows if r.k == "d"}) > 1
 
 
+def test_split_takes_one_version_of_a_key(spark):
+    long, short = "a b. " * 900, "c d. "
+    rows = [("d", 1, long), ("d", 2, long[:3000]), ("e", 1, long), ("e", 3, short), ("f", 2, long), ("f", 1, short), ("g", 1, short), ("g", 2, None)]
+    df = spark.createDataFrame(rows, "k string, v int, text string").withColumn("pieces", F.lit(1))
+    out = {}
+    for r in split_oversized.split_oversized(df, ["k"], "text", version="v").collect():
+        out.setdefault(r.k, []).append(r)
+    assert max(r.stop for r in out["d"]) == 3000
+    assert all(len(x) == x[0].pieces for x in out.values())
+    assert [r.unit for r in out["e"]] == ["whole"]
+    assert max(r.stop for r in out["f"]) == len(long)
+    assert [r.stop for r in out["g"]] == [len(short)]
+    again = split_oversized.split_oversized(df, ["k"], "text").collect()
+    assert all(sum(r.k == k for r in again) == next(r.pieces for r in again if r.k == k) for k in "defg")
+
+
 SENTENCES = [
     ("He met Dr. Smith at 3 p.m. today. Then (see Fig. 2) it ended.", ["He met Dr. Smith at 3 p.m. today.", "Then (see Fig. 2) it ended."]),
     ("Was it 3.5? \"Yes,\" she said. It was!", ["Was it 3.5?", "\"Yes,\" she said.", "It was!"]),
