@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,20 +18,44 @@ def local_session(app: str = "chunkspark", cores: int | str = "*", partitions: i
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) make a local one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which a cluster shares. Where it is unset a local master, whose executors
+    are this very process, gets a temporary one; any other master is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chunkspark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if sc.master.partition("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="chunkspark-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it from there: survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Write ``df`` once to the shared folder and read it from there: survives the loss of executors. Spark removes the
+    files when nothing refers to them any more, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same as a compressed table, for wide rows of which several steps read some columns each. The table stays in
+    the shared folder of this application."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session has cores, if it has fewer: a small file with a single row group
+    would keep all but one of them waiting. A large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
