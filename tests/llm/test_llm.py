@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chunkspark.llm import mixing, near_dup, packing, pairs, quality, scan_repair, sentences, split_oversized
+from chunkspark.llm import count_table, mixing, near_dup, packing, pairs, quality, scan_repair, sentences, split_oversized
 from chunkspark.llm.token_count import token_count
 from chunkspark.llm.unicode_text import words
 
@@ -66,14 +66,14 @@ def test_rows_of_a_hot_shingle_meet_once(monkeypatch):
 
 def test_count_codes():
     counts = np.array([0, 1, 128, 129, 1000, 10**7, 10**11])
-    codes = near_dup.encode_counts(counts)
-    assert (near_dup.decode_counts(codes) >= counts).all()
+    codes = count_table.encode_counts(counts)
+    assert (count_table.decode_counts(codes) >= counts).all()
     assert codes[1] == 1
 
 
 def test_counts_of_a_table(spark):
     df = spark.range(1000, numPartitions=20).select(F.xxhash64(F.col("id") % 10).alias("h"))
-    table = near_dup.count_table(df, lambda batch: batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 16)
+    table = count_table.count_table(df, lambda batch: batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 16)
     assert sorted(table[table > 0].tolist()) == [100] * 10
 
 
@@ -342,7 +342,32 @@ def test_scan_repair(spark):
     want = {("d", header, "furniture"), ("d", broken, "hyphen"), ("d", number, "furniture"), ("d", n - 2, "furniture"), ("d", n - 1, "misread")}
     assert {tuple(r) for r in defects.collect()} == want
     text = scan_repair.paragraphs(fixed).orderBy("paragraph").collect()[-1].text
-    assert "the experiment of the plasma is context" in text
+    assert "the experiment of the plasma is context-dependent." in text
+
+
+def test_title_behind_furniture_and_shared_headers(spark):
+    head = ["Letters of Plasma, Vol. {0}", "", "- 1 -", "", "[2]", "", "Preprint submitted to Plasma", "", "Smith et al.", "", "The plasma paper", ""]
+    body = [line for w in ("one", "two", "six", "ten") for line in (f"We measure the plasma of {w}, see, Section 3", f"and the book. As in {w}, the rest holds")]
+    texts = ["\n".join(head + body).format(i) for i in range(4)]
+    rows = [(f"d{i}", t) for i, t in enumerate(texts)]
+    got = {}
+    for times in (1, 10):  # the same documents are judged alike in a larger corpus
+        more = rows + [(f"e{k}-{i}", t) for k in range(times - 1) for i, t in rows]
+        df = spark.createDataFrame(more, "doc_id string, text string").withColumn("line_no", F.lit(7))
+        _, defects = scan_repair.repair(df, "doc_id", "text")
+        got[times] = {tuple(r) for r in defects.where("doc_id like 'd%'").collect()}
+    assert got[1] == got[10] == {(f"d{i}", n, "furniture") for i in range(4) for n in (1, 3, 5, 7, 9)}
+
+
+def test_scan_repair_of_nothing(spark):
+    fixed, defects = scan_repair.repair(spark.createDataFrame([(None, "x"), ("a", None), ("b", " \n\f\r\n")], "doc_id string, text string"), "doc_id", "text")
+    assert (fixed.count(), defects.count(), scan_repair.paragraphs(fixed).count()) == (0, 0, 0)
+
+
+def test_scan_repair_keeps_capitals(spark):
+    lines = ["The plasma paper", ""] + ["We see the stable plasma. Modern plasma holds."] * 60 + ["Modcrn plasma holds. We see the stabIe plasma."]
+    fixed, _ = scan_repair.repair(spark.createDataFrame([(5, "\n".join(lines))], "doc_id long, text string"), "doc_id", "text")
+    assert fixed.where(F.col("line_no") == len(lines)).first().fixed == "Modern plasma holds. We see the stable plasma."
 
 
 def test_scan_repair_reads_a_fourth_form(spark):
