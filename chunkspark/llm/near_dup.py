@@ -11,7 +11,7 @@ principle). The plan:
    proves a shingle to be unique: such shingles join nothing and are left out, and a record with too many of them can
    have no partner at all. Otherwise the table only orders shingles, rarest first; any order gives the same result.
 2. The index: where a chain starts, the two segments have Jaccard p/q themselves, so they share a shingle of the
-   rare-first prefix of that segment. Each distinct text sends these shingles with parity sketches of 64 bits of their
+   rare-first prefix of that segment. Each distinct text sends these shingles with parity sketches of 32 bits of their
    segment and of the next one; the Hamming distance of two sketches is never above that of the segments. Shingles
    above HOT occurrences are spread over pairs of classes of rows.
 3. The join on the shingle makes a candidate of a pair only if both positions fit the pair's own prefix in the segment
@@ -113,12 +113,12 @@ def shingle_counts(texts: DataFrame, k: int, least_words: int, bits: int) -> np.
     return count_table(texts, lambda batch: shingles(_once(batch, seen), k, least_words)[1], bits)
 
 
-COLUMNS = "token long, id long, m1 long, m2 long, s1 long, s2 long"
+COLUMNS = "token long, id long, m1 long, m2 long, sketches long"
 
 
 def prefix_rows(texts: list[str | None], ids: np.ndarray, codes: np.ndarray, k: int, least_words: int, t: Fraction) -> dict[str, np.ndarray]:
     """The index rows of a batch: token, id, size of the set, place in the segment's prefix and class flag (m1), sizes
-    of the segment and of the next one (m2), and the sketches of both."""
+    of the segment and of the next one (m2), and the sketches of both (32 bits each)."""
     doc, h, _ = shingles(texts, k, least_words)
     if not len(h):
         return {c.split()[0]: np.empty(0, np.int64) for c in COLUMNS.split(", ")}
@@ -137,7 +137,7 @@ def prefix_rows(texts: list[str | None], ids: np.ndarray, codes: np.ndarray, k:
     begin = np.cumsum(sizes) - sizes
     sketch = np.zeros(len(sizes), np.uint64)
     some = np.flatnonzero(sizes)
-    sketch[some] = np.bitwise_xor.reduceat(np.uint64(1) << ((h >> np.uint64(3)) & np.uint64(63)), begin[some])
+    sketch[some] = np.bitwise_xor.reduceat(np.uint64(1) << ((h >> np.uint64(3)) & np.uint64(31)), begin[some])
     pos = np.arange(len(h)) - begin[cell]
     least = (p * sizes + q - 1) // q
     keep = np.flatnonzero((pos <= (sizes - least)[cell]) & (code > 1) & may[cell // BOXES])
@@ -159,8 +159,7 @@ def prefix_rows(texts: list[str | None], ids: np.ndarray, codes: np.ndarray, k:
             "id": own[rep],
             "m1": (size[at // BOXES] << 32) | (position[rep] << 2) | flag,
             "m2": (sizes[at] << 32) | sizes[following],
-            "s1": sketch[at].view(np.int64),
-            "s2": sketch[following].view(np.int64),
+            "sketches": ((sketch[at] << np.uint64(32)) | sketch[following]).view(np.int64),
         }
 
 
@@ -191,7 +190,8 @@ def ring_pairs(rows: DataFrame, t: Fraction, chain: int = 2) -> DataFrame:
     n1, n2 = "shiftright({0}.m2, 32)", "({0}.m2 & 2147483647)"
     both = lambda n: f"({n.format('l')} + {n.format('r')})"
     # The distance of two segments is at least that of their sketches and of their sizes.
-    far = lambda s, n: f"greatest(bit_count(l.{s} ^ r.{s}), abs({n.format('l')} - {n.format('r')}))"
+    far = lambda bits, n: f"greatest(bit_count((l.sketches ^ r.sketches) & {bits}), abs({n.format('l')} - {n.format('r')}))"
+    first, second = f"{-(1 << 32)}L", f"{(1 << 32) - 1}L"
     overlap = f"(({p} * {both(n1)} + {p + q - 1}) div {p + q})"
     flags = "(l.m1 & 3) + (r.m1 & 3)"
     conditions = [
@@ -202,8 +202,8 @@ def ring_pairs(rows: DataFrame, t: Fraction, chain: int = 2) -> DataFrame:
         f"({size.format('l')} < {size.format('r')} or ({size.format('l')} = {size.format('r')} and l.id < r.id))",
         f"{q} * {size.format('l')} >= {p} * {size.format('r')}",
         f"{place.format('l')} <= {n1.format('l')} - {overlap} and {place.format('r')} <= {n1.format('r')} - {overlap}",
-        f"{p + q} * {far('s1', n1)} <= {q - p} * {both(n1)}",
-        f"{p + q} * ({far('s1', n1)} + {far('s2', n2)}) <= {q - p} * ({both(n1)} + {both(n2)})",
+        f"{p + q} * {far(first, n1)} <= {q - p} * {both(n1)}",
+        f"{p + q} * ({far(first, n1)} + {far(second, n2)}) <= {q - p} * ({both(n1)} + {both(n2)})",
     ]
     found = rows.alias("l").join(rows.alias("r"), F.expr(" and ".join(conditions[: 5 + chain])))
     return found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
