@@ -2,16 +2,19 @@
 
 Every line is read on its own (row of a table, entry of a list, page chrome, or text); the text that is left is then
 judged as a whole by its letters, its common words, its stops and its repetition: shares of duplicate lines and
-paragraphs, and the characters covered by the most dominant word n-grams. The kind of a document is what most of its
+paragraphs, and the characters covered by the dominant word n-gram. The kind of a document is what most of its
 characters belong to.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -25,7 +28,6 @@ COMMON = {
 }
 _COMMON = frozenset(w for words in (*STOPWORDS.values(), *COMMON.values()) for w in words.split())
 # Labels of page chrome.
-CHROME = "menu home search login log in sign up subscribe share download terms privacy cookies accept all cookies next » « back top view pdf cite this loading… loading... items 0 items read more contact about help follow us copyright skip to content previous next back"
 _CHROME = frozenset(["menu", "home", "search", "login", "log in", "sign in", "sign up", "subscribe", "share", "download", "terms", "privacy", "accept all cookies", "cookies", "next »", "« back", "top", "view pdf", "cite this", "loading…", "loading...", "read more", "contact", "about", "help", "follow us", "copyright", "skip to content", "previous", "next", "back", "0 items"])
 _CHROME_ANY = re.compile("|".join(sorted((re.escape(c) for c in _CHROME), key=len, reverse=True)))
 
@@ -40,23 +42,62 @@ _REFERENCE = re.compile(r"\d+\s*\(\d+\)\s*[:,]\s*\d+|\b(?:1[89]|20)\d\d[a-z]?\)?
 _AUTHORS = re.compile(r"(?:\[?\d+[\].]\s*)?(?:(?:[A-Z]\.\s?)+[A-Z][\w'-]+|[A-Z][\w'-]+,\s*[A-Z]\.)\s*(?:[.,;(]|and\b|&|et\b)")
 _ENTRY = re.compile(r"[^.!?。:=–—]{1,60}\s*(?:=|:|–|—|->|→)\s*[^.!?。]{1,80}")
 _STOP = re.compile(r"[.!?。！？।؟…][\"'”’»“)\]」』]*(?:\s*\[[\d,\s–-]+\])?\s*$")
+_STOP_SIGNS = tuple(".!?。！？।؟…")
 _STOPS = re.compile(r"[.!?؟।]+[\"'”’»“)\]]*(?=\s|$)|[。！？]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&[a-z]{2,8};|\{[^{}]{0,80}:[^{}]{0,80};\}")
 _MOJIBAKE = re.compile("[\u0080-\u009f¡-¿ÃÂÐÑ×ØÙÚ�€™œž‚„†‡ˆ‰‹](?=[\u0080-\u00ff€™œž‚„†‡ˆ‰‹�‘’“”–—•…])|�")
-_SYMBOLS = re.compile(r"[\W_]")
-_NO_LETTERS = re.compile(r"[\W\d_]")
-_MARKS = re.compile(r"[\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e4e]")
+_MARKS = (r"[\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e4e]")
 _SPACED_WORD = re.compile(r"[^\W\d_][\w\u0900-\u094f\u064b-\u065f'’-]*")
 _BROKEN_WORD = re.compile(r"[^\W\d_][^\w\s'’.,;:!?)\]}\"”»“/‐–—\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u094f\u0e31-\u0e4e-]+[^\W\d_]|[^\W\d_][,;:!¦|~^°§¬`]+[^\W\d_]|[~^°§¬¦`\\]")
 _UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
-_FUNCTION_CHARS = re.compile("[的是在和了与为而被更对从因此这]|[はがをにとのでもいる]|[\u0e01-\u0e3a\u0e40-\u0e4d]")
+_FUNCTION_CHARS = "[的是在和了与为而被更对从因此这はがをにとのでもいる\u0e01-\u0e3a\u0e40-\u0e4d]"
 _SEPARATED = re.compile(r"\s*(?:[;|•·、،；]|\s/\s|,\s(?=\S))\s*")
 
 
+# Classes of code points, as flags.
+WORDLIKE, DIGIT, MARK, UNSPACED, FUNCTION, BLANK = (1 << i for i in range(6))
+
+
+@lru_cache(maxsize=1)
+def _flags() -> np.ndarray:
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    points = np.r_[0:0xD800, 0xE000 : sys.maxunicode + 1].astype("<u4")  # all but the surrogates
+    everything = points.tobytes().decode("utf-32-le")
+    for flag, one in ((WORDLIKE, r"[^\W_]"), (DIGIT, r"\d"), (MARK, _MARKS), (UNSPACED, _UNSPACED.pattern), (FUNCTION, _FUNCTION_CHARS)):
+        for run in re.finditer(f"(?:{one})+", everything):
+            table[points[run.start() : run.end()]] |= flag
+    table[[c for c in range(0x3001) if chr(c).isspace()]] |= BLANK
+    return table
+
+
+_KINDS = np.arange(64)
+#: Which combinations of flags count as a sign, a symbol, a letter, a mark, of a script without blanks, as a function sign.
+_FITS = np.stack([_KINDS & BLANK == 0, _KINDS & (BLANK | WORDLIKE) == 0, _KINDS & (WORDLIKE | DIGIT) == WORDLIKE, _KINDS & MARK > 0, _KINDS & UNSPACED > 0, _KINDS & FUNCTION > 0]).astype(np.int64)
+
+
+class Signs:
+    """How many of the signs of a text, blanks left out, belong to each class."""
+
+    def __init__(self, text: str) -> None:
+        kinds = np.bincount(_flags()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")], minlength=64)
+        self.n, self.symbols, letters, marks, self.unspaced, self.function = (_FITS @ kinds).tolist()
+        self.letters = letters + marks
+
+
 #: A long line in which nothing hints at a row or an entry.
 _PLAIN = re.compile(r"(?![-*•◦–—·\[(\d]|[A-Za-z][.)]|[A-Z][a-z]+\.? \d|Рис|Табл)(?!.*(?:\d\(\d|\.\s?\.\s?\.|[|│┃║\t&<>{}=]|  |;\S|,\S|\d[.)]*$|…\d))[^\W\d_].*")
 
 
+_CLOSERS = "\"'”’»“)]」』"
+
+
+def _ends(line: str) -> bool:
+    """Whether a line ends in a stop: ``_STOP``, looked for at its end only."""
+    s = line.rstrip()
+    inner = s.rstrip(_CLOSERS)
+    return inner[-1:] in _STOP_SIGNS or s[-1:] == "]" and bool(_STOP.search(line))
+
+
 def _line_kind(line: str) -> str:
     """``table``, ``list``, ``junk``, ``rule``, ``short`` (a heading, or an entry among others) or ``text``."""
     s = line.strip()
@@ -85,11 +126,12 @@ def _line_kind(line: str) -> str:
         parts = re.split("[,;]", s)
         if all(len(p.split()) <= 4 for p in parts) and len(parts) > 2:
             return "table"
-    wide = re.split(r"\s{2,}", s)
-    if len(wide) > 2 and all(len(c.split()) <= 4 for c in wide):
-        return "table"
     tokens = s.split()
-    if len(tokens) > 2 and sum(bool(_NUMBER.fullmatch(t)) for t in tokens) >= 0.8 * len(tokens) and len(set(tokens)) > 1 and any(c.isdigit() for c in s):
+    if "  " in s or not s.isprintable():  # other blanks are not printable
+        wide = re.split(r"\s{2,}", s)
+        if len(wide) > 2 and all(len(c.split()) <= 4 for c in wide):
+            return "table"
+    if len(tokens) > 2 and any(map(str.isdigit, s)) and len(set(tokens)) > 1 and sum(map(bool, map(_NUMBER.fullmatch, tokens))) >= 0.8 * len(tokens):
         return "table"
     if _LEADER.search(s):
         return "list"
@@ -97,7 +139,7 @@ def _line_kind(line: str) -> str:
         return "list"
     if n < 400 and _AUTHORS.match(s) and _REFERENCE.search(s):
         return "list"
-    ends = bool(_STOP.search(s))
+    ends = _ends(s)
     bullet = _BULLET.match(s)
     if bullet and (len(tokens) <= 14 and n <= 110) and not (ends and len(tokens) > 8):
         return "list"
@@ -110,46 +152,80 @@ def _line_kind(line: str) -> str:
     return "text"
 
 
-def _coverage(words: list[str], n: int) -> float:
-    """Share of the words' characters that the most frequent n-gram covers, if it occurs more than twice."""
-    if len(words) < 2 * n:
-        return 0.0
-    grams = Counter(zip(*(words[i:] for i in range(n))))
-    gram, times = grams.most_common(1)[0]
-    return min(1.0, times * sum(map(len, gram)) / max(1, sum(map(len, words)))) if times > 2 else 0.0
+class Grams:
+    """The words of a text by number, and the repetition of their n-grams."""
 
+    def __init__(self, words: list[str]) -> None:
+        numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        self.sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        self.distinct = max(1, len(numbers))
 
-def _dominant(words: list[str]) -> float:
-    return max(_coverage(words, n) for n in (2, 3, 4))
+    def dominant(self) -> float:
+        """The largest share of the words' characters that one n-gram of 2 to 4 words covers; one that does not occur
+        more than twice covers none."""
+        at, best = self.at, 0
+        code, size = at, self.sizes  # number of each n-gram, and the characters of each number
+        for n in (2, 3, 4):
+            if len(at) < 2 * n:
+                break
+            code = code[:-1] * self.distinct + at[n - 1 :]
+            run = np.sort(code)
+            if not (run[2:] == run[:-2]).any():
+                break  # longer n-grams do not occur more often
+            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            times = np.diff(starts, append=len(run))
+            many = times > 2
+            rest, chars = run[starts[many]], 0
+            for _ in range(n):
+                rest, last = np.divmod(rest, self.distinct)
+                chars = chars + size[last]
+            best = max(best, int((times[many] * chars).max()))
+            if n * self.distinct.bit_length() > 46:  # the next numbers would not fit: only these n-grams, renumbered
+                return min(1.0, max(best, self._longer(n + 1)) / self._total())
+        return min(1.0, best / self._total())
 
+    def _total(self) -> int:
+        return max(1, int(self.sizes[self.at].sum()))
 
-def _repeated(words: list[str], n: int = 8) -> float:
-    """Share of the n-grams that occur more than twice: long passages again and again, on one line or on many.
-    0 where it cannot be above a half."""
-    if len(words) < 3 * n:
-        return 0.0
-    most = len(words) - n + 1
-    if 2 * sum(k for k in Counter(words).values() if k > 2) <= most:
-        return 0.0  # each of these n-grams begins with a word that occurs more than twice: they are at most half
-    grams = Counter(zip(*(words[i:] for i in range(n))))
-    return sum(k for k in grams.values() if k > 2) / most
+    def _again(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first place, occurrences) of the n-grams that occur more than twice."""
+        code = self.at
+        for k in range(1, n):  # numbers of the k-grams anew before each step, so that they stay small
+            code = np.unique(code, return_inverse=True)[1][:-1] * self.distinct + self.at[k:]
+        _, first, times = np.unique(code, return_index=True, return_counts=True)
+        return first[times > 2], times[times > 2]
 
+    def _longer(self, least: int) -> int:
+        best, ends = 0, np.concatenate([[0], np.cumsum(self.sizes[self.at])])
+        for n in range(least, 5):
+            first, times = self._again(n)
+            best = max(best, int((times * (ends[first + n] - ends[first])).max(initial=0)))
+        return best
 
-def _text_kind(text: str, words: list[str], coverage: float | None) -> str:
-    """``prose``, ``list`` or ``junk`` for the lines that are no table, entry or chrome on their own; ``words`` are
-    those of the text, ``coverage`` that of its dominant n-gram if it is known."""
-    dense = "".join(text.split())
-    n = len(dense)
+    def repeated(self, n: int = 8) -> float:
+        """Share of the n-grams that occur more than twice: long passages again and again, on one line or on many.
+        0 where it cannot be above a half."""
+        most = len(self.at) - n + 1
+        if len(self.at) < 3 * n:
+            return 0.0
+        times = np.bincount(self.at)
+        if 2 * int(times[times > 2].sum()) <= most:
+            return 0.0  # each of these n-grams begins with a word that occurs more than twice: they are at most half
+        return int(self._again(n)[1].sum()) / most
+
+
+def _text_kind(text: str, dense: str, words: list[str], signs: Signs, grams: Grams, coverage: float) -> str:
+    """``prose``, ``list`` or ``junk`` for the lines that are no table, entry or chrome on their own."""
+    n, letters = signs.n, signs.letters
     if not n:
         return "prose"
-    letters = n - len(_NO_LETTERS.findall(dense)) + (0 if dense.isascii() else len(_MARKS.findall(dense)))
     if not dense.isascii() and (len(_MOJIBAKE.findall(dense)) > 0.04 * n or dense.count("�") > 0.02 * n):
         return "junk"
     if letters < 0.55 * n or len(set(dense)) < min(8, n / 4):
         return "junk"
-    unspaced = 0 if dense.isascii() else len(_UNSPACED.findall(dense))
-    if unspaced > 0.3 * n:
-        stops, marks = len(_STOPS.findall(text)), len(_FUNCTION_CHARS.findall(dense))
+    if signs.unspaced > 0.3 * n:
+        stops, marks = len(_STOPS.findall(text)), signs.function
         pieces = [p for p in _SEPARATED.split(text.strip()) if p]
         chars = Counter(dense[i : i + 8] for i in range(0, max(1, n - 8)))
         if n > 80 and chars.most_common(1)[0][1] * 8 > 0.3 * n:
@@ -164,13 +240,13 @@ def _text_kind(text: str, words: list[str], coverage: float | None) -> str:
         return "junk"
     if letters < 0.93 * n and (broken := len(_BROKEN_WORD.findall(text))) > 3 and broken > 0.08 * len(tokens):
         return "junk"
-    common = sum(w in _COMMON for w in words)
+    common = sum(map(_COMMON.__contains__, words))
     if common < 0.25 * len(words) and len(_CHROME_ANY.findall(text.lower())) * 3 > len(words):
         return "junk"
     if len(words) >= 12:
-        if (_dominant(words) if coverage is None else coverage) > 0.35 or len(set(words)) < 12 and len(set(words)) < 0.08 * len(words):
+        if coverage > 0.35 or grams.distinct < 12 and grams.distinct < 0.08 * len(words):
             return "junk"
-        if _repeated(words) > 0.5:
+        if grams.repeated() > 0.5:
             return "junk"
     stops = len(_STOPS.findall(text))
     if sum(map(text.count, ";|•·、,/")) >= max(5, 6 * stops):
@@ -194,15 +270,16 @@ def statistics(text: str) -> dict[str, float | int | str]:
     words = _SPACED_WORD.findall(text.lower())
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
     dense = "".join(text.split())
+    signs, grams = Signs(text), Grams(words)
     out: dict = {
         "n_words": len(words),
         "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
-        "symbol_ratio": len(_SYMBOLS.findall(dense)) / len(dense) if dense else 0.0,
-        "stop_lines": sum(bool(_STOP.search(x)) for x in lines) / len(lines) if lines else 0.0,
-        "common_words": sum(w in _COMMON for w in words) / len(words) if words else 0.0,
+        "symbol_ratio": signs.symbols / signs.n if dense else 0.0,
+        "stop_lines": sum(map(_ends, lines)) / len(lines) if lines else 0.0,
+        "common_words": sum(map(_COMMON.__contains__, words)) / len(words) if words else 0.0,
         "duplicate_lines": 1 - len({x.strip() for x in lines}) / len(lines) if lines else 0.0,
         "duplicate_paragraphs": 1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
-        "top_ngram": _dominant(words),
+        "top_ngram": grams.dominant(),
     }
     sizes = dict.fromkeys(("prose", "list", "table", "junk"), 0)
     if lines:
@@ -225,9 +302,14 @@ def statistics(text: str) -> dict[str, float | int | str]:
             else:
                 sizes[k] += size
         if rest:
-            body = "\n".join(rest)
-            whole = len(rest) == len(lines)
-            sizes[_text_kind(body, words if whole else _SPACED_WORD.findall(body.lower()), out["top_ngram"] if whole else None)] += sum(len(x.strip()) for x in rest)
+            body, top = "\n".join(rest), out["top_ngram"]
+            if len(rest) < len(lines):
+                words_of, dense = _SPACED_WORD.findall(body.lower()), "".join(body.split())
+                signs, grams = Signs(body), Grams(words_of)
+                top = grams.dominant()
+            else:
+                words_of = words
+            sizes[_text_kind(body, dense, words_of, signs, grams, top)] += sum(len(x.strip()) for x in rest)
         same = out["duplicate_lines"] > 0.6 and len(lines) > 4 or out["duplicate_paragraphs"] > 0.6 and len(paragraphs) > 2
         if same:  # the same few lines or paragraphs again and again
             sizes = {"prose": 0, "list": 0, "table": 0, "junk": max(1, sum(sizes.values()))}
