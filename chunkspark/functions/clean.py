@@ -20,10 +20,10 @@ def latex_headings(c: Column | str) -> Column:
 
 
 def numeric_headings(c: Column | str) -> Column:
-    """Lines that begin with a section number: number, one blank, title without blanks around. Other lines stay; all
+    """Lines that begin with a section number: number, one blank, title, all runs of blanks as one. Other lines stay; all
     line breaks become newlines and the last one is dropped."""
     head = rf"^{SPACE}*(\d+(?:\.\d+)*){SPACE}+(.+?){SPACE}*$"
-    return F.array_join(F.transform(lines(c), lambda x: F.when(x.rlike(head), F.regexp_replace(x, head, "$1 $2")).otherwise(x)), "\n")
+    return F.array_join(F.transform(lines(c), lambda x: F.when(x.rlike(head), F.regexp_replace(strip(x), f"{SPACE}+", " ")).otherwise(x)), "\n")
 
 
 def drop_references(c: Column | str) -> Column:

@@ -86,11 +86,16 @@ def match_form(c: Column | str) -> Column:
 
 
 # Words that are no keywords.
-STOP_WORDS = "the and of in to for with on by an a is are be we this that as at from can it or their our via using into these those such have has was were will may also both between within over under through than more less"
+STOP_WORDS = [
+    "the", "and", "of", "in", "to", "for", "with", "on", "by", "an", "a", "is", "are", "be", "we", "this", "that",
+    "as", "at", "from", "can", "it", "or", "their", "our", "via", "using", "into", "these", "those", "such", "have",
+    "has", "was", "were", "will", "may", "also", "both", "between", "within", "over", "under", "through", "than",
+    "more", "less",
+]
 
 
 def keyword_tokens(c: Column | str) -> Column:
     """Words of more than two ASCII letters or digits that are no stop words, in order."""
     out = F.regexp_replace(F.regexp_replace(F.lower(col(c)), "[-_]+", " "), rf"(?:(?!{SPACE})[^a-z0-9])", " ")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS.split()])
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.filter(tokens(out), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))

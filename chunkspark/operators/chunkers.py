@@ -5,13 +5,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkspark.functions.text import col, keep_text, let, sentences, span, split_literal, strip
+from chunkspark.functions.text import col, keep_text, let, sentences, span, split_literal, strip, token_estimate, tokens
 from chunkspark.operators.format_aware import format_aware
+from chunkspark.operators.hierarchy import HEADING
+from chunkspark.operators.sections import windows
 
 EMPTY = "array<string>"
 
@@ -46,8 +49,10 @@ def group_sentences(pieces: Column, per: int = 3) -> Column:
     return let(pieces, lambda p: F.transform(span(F.ceil(F.size(p) / per)), lambda i: F.array_join(F.slice(p, i * per + 1, F.lit(per)), " ")))
 
 
-def sentence(c: Column | str, per: int = 3) -> Column:
-    return keep_text(group_sentences(sentences(c), per))
+def sentence(c: Column | str, per: int = 3, split: Callable[[Column | str], Column] = sentences) -> Column:
+    """Neighbouring sentences, ``per`` at a time; ``split`` makes an array of sentences of a text column (a pandas UDF
+    around a sentence tokenizer may take the place of the plain rule)."""
+    return keep_text(group_sentences(split(c), per))
 
 
 def paragraphs(c: Column | str) -> Column:
@@ -82,14 +87,66 @@ def delimiter(c: Column | str, marks: tuple[str, ...] = ("---", "###")) -> Colum
     return keep_text(out)
 
 
-def token_limit(c: Column | str, limit: int = 800) -> Column:
-    """Where no tokenizer is at hand, a token stands for a code point: the same as ``fixed``."""
-    return fixed(c, limit)
+Tokenizer = tuple[Callable[[str], list[int]], Callable[[list[int]], str]]
 
 
-def semantic(c: Column | str) -> Column:
-    """Where no model is at hand: groups of three sentences."""
-    return sentence(c, 3)
+def token_limit(c: Column | str, limit: int = 800, load: Callable[[], Tokenizer] | None = None) -> Column:
+    """Runs of ``limit`` tokens. ``load`` is called once per Python worker and gives the functions that encode and
+    decode; where no tokenizer is at hand, a token stands for a code point: the same as ``fixed``."""
+    if load is None:
+        return fixed(c, limit)
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, decode = load()
+        for texts in batches:
+            yield texts.fillna("").map(lambda t: [decode(ids[i : i + limit]) for ids in [encode(t)] for i in range(0, len(ids), limit)])
+
+    return keep_text(run(col(c)))
+
+
+def semantic(c: Column | str, load: Callable[[], Callable[[str], list[str]]] | None = None) -> Column:
+    """Chunks of a model: ``load`` is called once per Python worker and gives a function from a text to its chunks.
+    Where none is at hand, or it fails on a text or finds nothing: groups of three sentences."""
+    plain = sentence(c, 3)
+    if load is None:
+        return plain
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield texts.map(lambda t: _or_none(model, t))
+
+    found = keep_text(run(col(c)))
+    return F.when(F.size(found) > 0, found).otherwise(plain)
+
+
+def _or_none(model: Callable[[str], list[str]], text: str | None) -> list[str] | None:
+    try:
+        return list(model(text)) if text else None
+    except Exception:  # noqa: BLE001  the plain rule takes its place
+        return None
+
+
+def hierarchical(c: Column | str, max_tokens: int = 200, overlap: int = 30, every: int = 5) -> Column:
+    """Paragraphs gathered into sections by the rule of ``hierarchy.rule_sections``, and these cut into windows of
+    words: the whole pipeline of a document as one expression."""
+
+    def step(state: Column, segment: Column) -> Column:
+        cut = segment.rlike(HEADING) | (state["since"] == 0)
+        following = F.when(cut, F.lit(1)).otherwise(state["since"] + 1) % every
+        return F.struct(following.alias("since"), (state["i"] + 1).alias("i"), F.when(cut, F.concat(state["cuts"], F.array(state["i"]))).otherwise(state["cuts"]).alias("cuts"))
+
+    def gather(segments: Column, cuts: Column) -> Column:
+        return F.transform(cuts, lambda x, i: F.array_join(F.slice(segments, x + 1, F.coalesce(F.get(cuts, i + 1), F.size(segments)) - x), "\n\n"))
+
+    start = F.struct(F.lit(0).alias("since"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("cuts"))
+    sections = let(keep_text(paragraphs(c)), lambda segments: let(F.aggregate(segments, start, step, lambda s: s["cuts"]), lambda cuts: gather(segments, cuts)))
+    cut = lambda s: F.when(token_estimate(s) <= max_tokens, F.array(s)).otherwise(windows(tokens(s), max_tokens, overlap))
+    return keep_text(F.flatten(F.transform(sections, cut)))
 
 
 REGISTRY: dict[str, Callable[[Column | str], Column]] = {
@@ -103,7 +160,10 @@ REGISTRY: dict[str, Callable[[Column | str], Column]] = {
     "token_limit": token_limit,
     "semantic": semantic,
     "format_aware": format_aware,
+    "hierarchical": hierarchical,
 }
+#: Without models and tokenizers these methods give the same chunks as others, which are computed once for both.
+_SAME = {"token_limit": "fixed", "semantic": "sentence"}
 
 
 def chunk_arrays(df: DataFrame, methods: Iterable[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,7 +176,9 @@ def chunk_arrays(df: DataFrame, methods: Iterable[str] | None = None, id_col: st
     rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     if not names:
         return rows.select("doc_id", F.lit("").alias("method"), F.lit(0).alias("source_len"), F.array().cast(EMPTY).alias("chunks")).limit(0)
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), REGISTRY[m]("text").alias("chunks")) for m in names]))
+    chunks = dict.fromkeys(_SAME.get(m, m) for m in names)
+    rows = rows.select("doc_id", "text", *[REGISTRY[m]("text").alias(f"by_{m}") for m in chunks])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"by_{_SAME.get(m, m)}").alias("chunks")) for m in names]))
     return rows.select("doc_id", F.length("text").alias("source_len"), each.alias("r")).select("doc_id", "r.method", "source_len", "r.chunks")
 
 

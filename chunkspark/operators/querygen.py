@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chunkspark.functions.text import col, keyword_tokens, strip
+from chunkspark.functions.text import col, is_blank, keyword_tokens, strip
+from chunkspark.operators.hierarchy import Client, strip_fences
 
 # Questions of the fallback set, and its needles for a text without keywords.
 FALLBACK_QUESTIONS = [
@@ -61,18 +65,51 @@ def prompt(text: Column | str, name: Column | str, keywords: Column | str) -> Co
 def parse_queries(raw: Column | str) -> Column:
     """Array of (query, must_contain) in an answer: a JSON array, perhaps in a code fence or among other words.
 
-    Entries need a query that is not blank and a list of needles; needles come out stripped and in small letters,
-    blank ones are dropped. Anything else gives an empty array.
+    Entries need a query that is not blank and a list of needles; needles come out in small letters with the blanks
+    around them, blank ones are dropped. Anything else gives an empty array.
     """
-    text = F.regexp_replace(col(raw), r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", "")
+    text = strip_fences(raw)
     inner = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
     parsed = F.from_json(inner, "array<struct<query:string,must_contain:array<string>>>")
     kind = "struct<query:string,must_contain:array<string>>"
     usable = F.filter(F.coalesce(parsed, F.array().cast(f"array<{kind}>")), lambda q: (F.coalesce(strip(q["query"]), F.lit("")) != "") & (F.coalesce(F.size(q["must_contain"]), F.lit(0)) > 0))
-    needles = lambda q: F.filter(F.transform(q["must_contain"], lambda n: F.lower(strip(n))), lambda n: n != "")
+    needles = lambda q: F.transform(F.filter(q["must_contain"], lambda n: ~is_blank(n)), lambda n: F.lower(n))
     return F.transform(usable, lambda q: F.struct(strip(q["query"]).alias("query"), needles(q).alias("must_contain")))
 
 
+def answers_with(df: DataFrame, make_client: Callable[[], Client], id_col: str = "doc_id", text_col: str = "text", max_chars: int = 12_000) -> DataFrame:
+    """``(doc_id, response)``: the answers of a client to ``prompt``, one client per Python worker. One that fails gives
+    an empty answer, which ``generate`` replaces or leaves out."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, max_chars).alias("text"))
+    asked = docs.join(keyword_lists(docs), "doc_id").select("doc_id", prompt("text", F.col("doc_id").cast("string"), "keywords").alias("response"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = None
+        for pdf in batches:
+            client = client or make_client()
+            yield pdf.assign(response=[_quietly(client, p) for p in pdf["response"]])
+
+    return asked.mapInPandas(run, asked.schema)
+
+
+def _quietly(client: Client, prompt_: str) -> str:
+    try:
+        return client(prompt_) or ""
+    except Exception:  # noqa: BLE001  the document then has no usable answer
+        return ""
+
+
+def job(documents: DataFrame, make_client: Callable[[], Client] | None = None, existing: DataFrame | None = None, limit: int | None = None, overwrite: bool = False, max_chars: int = 12_000, allow_fallback: bool = False) -> DataFrame:
+    """Query sets for the first ``limit`` of ``documents(doc_id, text)`` by id (all without a limit, which is a feature
+    of the command); those in ``existing(doc_id)`` are skipped unless they shall be overwritten."""
+    docs = documents if limit is None else documents.orderBy("doc_id").limit(limit)
+    known = None if overwrite else existing
+    if known is not None:
+        docs = docs.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
+    answers = None if make_client is None else answers_with(docs, make_client, max_chars=max_chars)
+    return generate(docs, answers, max_chars=max_chars, allow_fallback=allow_fallback)
+
+
 def generate(df: DataFrame, answers: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_chars: int = 12_000, allow_fallback: bool = True, existing: DataFrame | None = None) -> DataFrame:
     """``(doc_id, query_no, query, must_contain)`` for the documents that ``existing(doc_id)`` doesn't hold.
 

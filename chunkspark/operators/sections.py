@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,19 +49,21 @@ def windows(words: Column, most: int, overlap: int) -> Column:
     return let(words, cut)
 
 
-def rechunk(sections: DataFrame, max_tokens: int = 500, overlap: int = 50, short_circuit: bool = True) -> DataFrame:
+def rechunk(sections: DataFrame, max_tokens: int = 500, overlap: int = 50, short_circuit: bool = True, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(doc_id, section_id, chunk_ord, chunk_id, section_title, text)`` of ``sections``.
 
     A blank section has no chunk. One whose estimated tokens (a quarter of its length) don't exceed ``max_tokens`` is
     one chunk with its white space kept; others become windows of words joined by single blanks. ``overlap`` is held
     between 0 and ``max_tokens - 1``; a ``max_tokens`` of 0 or less raises. Chunk ids are doc, section and place.
+    ``tokenize`` makes an array of token strings of a text column (such as a pandas UDF around a tokenizer); with one of
+    one's own no section is let through by its estimate.
     """
     if max_tokens <= 0:
         raise ValueError("max_tokens must be positive")
     overlap = min(max(overlap, 0), max_tokens - 1)
     text = strip("text")
-    parts = windows(tokens(text), max_tokens, overlap)
-    if short_circuit:
+    parts = windows((tokenize or tokens)(text), max_tokens, overlap)
+    if short_circuit and tokenize is None:
         parts = F.when(token_estimate(text) <= max_tokens, F.array(text)).otherwise(parts)
     rows = sections.where(~is_blank("text")).select("doc_id", F.coalesce("section_id", F.lit("s")).alias("section_id"), F.coalesce("section_title", F.lit("")).alias("section_title"), F.posexplode(parts).alias("chunk_ord", "text"))
     return rows.select("doc_id", "section_id", "chunk_ord", F.concat_ws("-", "doc_id", "section_id", "chunk_ord").alias("chunk_id"), "section_title", "text")

@@ -93,8 +93,9 @@ def _md5(sql: str, columns: str) -> str:
 
 def _stats(by: str, methods: list[str]) -> str:
     arrays = " union all ".join(f"select doc_id, '{m}' as method, length(text) as source_len, {CHUNKS[m]} as chunks from {_ALL_DOCS}" for m in methods if m in CHUNKS)
-    if "format_aware" in methods:
-        arrays += f" union all select d.doc_id, 'format_aware', length(d.text), coalesce(c.chunks, []) from {_ALL_DOCS} d left join (select doc_id, list(text order by chunk_ord) as chunks from ({format_aware(_ALL_DOCS)}) group by doc_id) c using (doc_id)"
+    for m in ("format_aware", "hierarchical"):
+        if m in methods:
+            arrays += f" union all select d.doc_id, '{m}', length(d.text), coalesce(c.chunks, []) from {_ALL_DOCS} d left join (select doc_id, list(text order by chunk_ord) as chunks from ({globals()[m](_ALL_DOCS)}) group by doc_id) c using (doc_id)"
     return f"""
         with a as ({arrays}),
         src as (select {by}, sum(source_len) as src from a group by {by}),
@@ -105,7 +106,7 @@ def _stats(by: str, methods: list[str]) -> str:
         from src left join s using ({by})"""
 
 
-def rechunk(most: int, overlap: int, short: bool) -> str:
+def rechunk(most: int, overlap: int, short: bool, source: str = _SECTIONS) -> str:
     t = strip("text")
     words = f"regexp_extract_all({t}, '{_NWS}+')"
     n = f"len({words})"
@@ -113,7 +114,7 @@ def rechunk(most: int, overlap: int, short: bool) -> str:
     array = f"case when ceil(length({t}) / 4) <= {most} then [{t}] else {w} end" if short else w
     return f"""select doc_id, section_id, section_title, chunk_ord, doc_id || '-' || section_id || '-' || chunk_ord as chunk_id, text from
         (select doc_id, section_id, coalesce(section_title, '') as section_title, generate_subscripts(a, 1) - 1 as chunk_ord, unnest(a) as text from
-        (select doc_id, section_id, section_title, {array} as a from {_SECTIONS} where {strip("coalesce(text, '')")} <> ''))"""
+        (select doc_id, section_id, section_title, {array} as a from {source} where {strip("coalesce(text, '')")} <> ''))"""
 
 
 _RULE = f"""
@@ -123,6 +124,14 @@ _RULE = f"""
     o as (select *, (row_number() over (partition by doc_id, h, part order by seg_order) = 1)::int as opens from p),
     r as (select *, sum(opens) over (partition by doc_id order by seg_order) as sec_no from o)"""
 
+def hierarchical(source: str) -> str:
+    """Chunks of the sections that the rule makes of paragraphs: (doc_id, chunk_ord, text)."""
+    seg = f"select doc_id, generate_subscripts(a, 1) - 1 as seg_order, unnest(a) as text from (select doc_id, {_PARAGRAPHS} as a from {source})"
+    rule = _RULE.replace(_SEGMENTS, f"(select doc_id, 'seg_' || seg_order as segment_id, seg_order, text from ({seg}))")
+    sec = f"({rule} select doc_id, sec_no as section_id, null as section_title, string_agg(g.text, {_NL2} order by seg_order) as text from r join ({seg}) g using (doc_id, seg_order) group by doc_id, sec_no)"
+    return f"select doc_id, row_number() over (partition by doc_id order by section_id, chunk_ord) - 1 as chunk_ord, text from ({rechunk(200, 30, True, sec)})"
+
+
 _NEXT = f"select doc_id, chunk_id as src, lead(chunk_id) over (partition by doc_id, section_id order by chunk_ord) as dst, 'next' as relation from ({rechunk(200, 30, True)})"
 _EDGES = f"""
     select distinct doc_id, doc_id as src, section_id as dst, 'has_section' as relation from {_SECTIONS}
@@ -144,7 +153,7 @@ def _topk(index: str, key: str, queries: str, k: int) -> str:
         select query_id, {key}, score, row_number() over (partition by query_id order by score desc, {key}) as rank from scored qualify rank <= {k})"""
 
 
-_STOP = " ".join(q.text.STOP_WORDS.split())
+_STOP = " ".join(q.text.STOP_WORDS)
 _MATCH = lambda x: strip(f"regexp_replace(regexp_replace(regexp_replace(lower({x}), '[-_]+', ' ', 'g'), '[^a-z0-9\\s\\x0b\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]', ' ', 'g'), '{_WS}+', ' ', 'g')".replace("{{", "{").replace("}}", "}"))
 
 
@@ -164,7 +173,7 @@ def _fallback(source: str) -> str:
 def _clean(x: str) -> dict[str, str]:
     """Nested stages of cleaning; each takes the column of the stage below."""
     head = rf"^{_WS}*(\d+(?:\.\d+)*){_WS}+(.+?){_WS}*$"
-    numeric = f"array_to_string(list_transform({lines(x)}, lambda v: regexp_replace(v, '{head}', '\\1 \\2')), chr(10))"
+    numeric = f"array_to_string(list_transform({lines(x)}, lambda v: case when regexp_matches(v, '{head}') then regexp_replace({strip('v')}, '{_WS}+', ' ', 'g') else v end), chr(10))"
     block = rf"(?im:^{_WS}*(?:References|Bibliography)\b)(?s:.*)"
     rstrip = lambda v: f"regexp_replace({v}, '{_WS}+$', '')"
     cut = f"regexp_replace({x}, '{block}', '')"
@@ -199,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
     for m in ("paragraph", "recursive", "hybrid", "delimiter"):
         out[f"{m}_chunks_of_sections"] = _md5(unnested(_SECTION_DOCS, CHUNKS[m], "chunk_ord"), "doc_id, chunk_ord")
     out["format_aware_chunks_of_sections"] = _md5(format_aware(_SECTION_DOCS), "doc_id, chunk_ord")
+    out["hierarchical_chunks_of_sections"] = _md5(hierarchical(_SECTION_DOCS), "doc_id, chunk_ord")
     out["format_aware_cases"] = format_aware(f"(select * from {_values(list(enumerate(q.MARKDOWN)), 'doc_id, text')})")
     out["chunk_stats"] = _stats("method", list(REGISTRY))
     out["chunk_stats_per_document"] = _stats("doc_id, method", ["fixed", "sentence", "recursive"])
@@ -210,8 +220,7 @@ def oracle_sql() -> dict[str, str]:
     out["rule_sections"] = f"{_RULE} select doc_id, segment_id, 's' || sec_no as section_id, seg_order as place from r"
     out["materialize_sections"] = f"""{_RULE}, last as (select doc_id, segment_id, {strip("coalesce(text, '')")} as t from {_SEGMENTS})
         select doc_id, 's' || sec_no as section_id, sec_no - 1 as sec_order, md5(coalesce(string_agg(case when t <> '' then t end, {_NL2} order by seg_order), '')) as text from r join last using (doc_id, segment_id) group by doc_id, sec_no"""
-    rows = [(i, ok, 2 if ok and a.count("section_id") > 1 else 1, "T" if ok else "All Segments") for i, (a, ok) in enumerate(q.ANSWERS)]
-    out["hierarchy_validate"] = f"select * from {_values(rows, 'doc_id, valid, n_sections, first_title')}"
+    out["hierarchy_validate"] = _validate()
     out["rechunk_sections"] = _md5(rechunk(200, 30, True), "doc_id, section_id, chunk_ord, chunk_id")
     out["rechunk_windows"] = _md5(rechunk(50, 10, False), "doc_id, section_id, chunk_ord, chunk_id")
     chunks = rechunk(200, 30, True)
@@ -231,6 +240,8 @@ def oracle_sql() -> dict[str, str]:
     out["hash_tf"] = _tf("documents", "doc_id")
     docs_tf = _tf("documents", "doc_id")
     out["hash_topk"] = f"select * from {_topk(docs_tf, 'doc_id', f'select doc_id as query_id, bucket, tf from ({docs_tf}) where doc_id % 100 = 0', 5)}"
+    out["sparse_topk"] = out["hash_topk"]
+    out["zero_topk"] = "select a.doc_id as query_id, b.doc_id, 0.0 as score, b.rank from documents a, (select doc_id, row_number() over (order by doc_id) as rank from documents qualify rank <= 3) b where a.doc_id % 100 = 0"
     asked = _tf("(select doc_id as query_id, text from documents where doc_id % 100 = 0)", "query_id")
     out["graph_retrieval"] = f"""
         with hits as (select * from {_topk(_tf(f'({chunks})', 'chunk_id'), 'chunk_id', asked, 5)}),
@@ -241,8 +252,8 @@ def oracle_sql() -> dict[str, str]:
     out["contains_match"] = f"select distinct chunk_id, (contains({hay}, 'low rank') or contains({hay}, 'thermal') or contains({hay}, 'eq 1')) as hit from chunk where text is not null"
     out["top_keywords"] = _keywords("documents", 25)
     out["fallback_queries"] = f"select doc_id, query_no, query, array_to_string(must_contain, ',') as needles from ({_fallback('documents')})"
-    out["llm_queries_parse"] = f"select * from {_values([(0, 0, 'A?', 'x,y'), (1, 0, 'Q', 'n'), (2, 0, 'R', 'm')], 'id, n, query, needles')}"
-    out["recall_at_k"] = _recall()
+    out["llm_queries_parse"] = _parse()
+    out["recall_at_k"], out["corpus_recall"] = _recall(3), _recall(1)
     rows = [(m, r if n % 2 else None) for m, n, r in q.RESULTS] + [(m, r) for m, n, r in q.RESULTS if n > 1000]
     out["recall_aggregate"] = f"select method, count(*) as n, round(avg(coalesce(r, 0)::double), 6) as avg_recall, min(coalesce(r, 0))::double as min_recall, max(coalesce(r, 0))::double as max_recall from {_values(rows, 'method, r')} group by 1"
     out["pareto_frontier"] = f"select ordinal, method, total_chunks, recall::double as recall from (select *, max(recall) over (order by total_chunks, ordinal rows between unbounded preceding and 1 preceding) as best from {_values([(i, *r) for i, r in enumerate(q.RESULTS)], 'ordinal, method, total_chunks, recall')}) where recall >= coalesce(best, 0)"
@@ -262,15 +273,48 @@ def _report() -> str:
         from (select doc_id, count(*) as num_segments from r group by 1) join per using (doc_id)"""
 
 
-def _recall() -> str:
+_FENCED = lambda x: f"case when starts_with({strip(x)}, '```') and len(string_split({strip(x)}, '```')) >= 3 then {strip(f'string_split({strip(x)}, chr(96) || chr(96) || chr(96))[2]')} else {strip(x)} end"
+
+
+def _validate() -> str:
+    """Answers parsed and checked with DuckDB's JSON functions."""
+    rows = _values([(i, a) for i, (a, _) in enumerate(q.ANSWERS)], "doc_id, response")
+    ids = "['seg_0', 'seg_1', 'seg_2']"
+    tail, inner = (f"regexp_extract(t, '(?s)(\\{{.*\\}}){end}', 1)" for end in ("$", ""))
+    part = lambda path: f"list_transform(sections, lambda s: s->'{path}')"
+    shape = f"len(list_filter(sections, lambda s: coalesce(json_exists(s, '$.section_title') and json_type(s, '$.section_id') = 'VARCHAR' and json_type(s, '$.segment_ids') = 'ARRAY', false))) = len(sections)"
+    return f"""
+        with t as (select doc_id, {_FENCED('response')} as t from {rows}),
+        j as (select doc_id, case when json_valid(t) then t when json_valid({tail}) then {tail} when json_valid({inner}) then {inner} end as j from t),
+        s as (select doc_id, case when json_type(j, '$.sections') = 'ARRAY' then json_extract(j, '$.sections[*]') else [] end as sections from j),
+        p as (select doc_id, sections, len(sections) > 0 and {shape} as shaped, flatten(list_transform({part('$.segment_ids')}, lambda x: json_extract(x, '$[*]'))) as members, {part('$.section_id')} as names from s),
+        v as (select *, coalesce(shaped and list_transform(members, lambda m: m::varchar) = list_transform({ids}, lambda m: '"' || m || '"') and len(list_distinct(list_transform(names, lambda n: n::varchar))) = len(names), false) as valid from p)
+        select doc_id, valid, case when valid then len(sections) else 1 end as n_sections, case when valid then sections[1]->>'$.section_title' else 'All Segments' end as first_title from v"""
+
+
+def _parse() -> str:
+    """Query sets read out of answers with DuckDB's JSON functions."""
+    rows = _values(list(enumerate(q.RAW_QUERIES)), "id, raw")
+    inner = "regexp_extract(t, '(?s)(\\[.*\\])', 1)"
+    needles = f"list_transform(list_filter(must, lambda n: {strip('n')} <> ''), lambda n: lower(n))"
+    return f"""
+        with t as (select id, {_FENCED('raw')} as t from {rows}),
+        a as (select id, case when json_valid({inner}) then json_extract({inner}, '$[*]') else [] end as a from t),
+        e as (select id, generate_subscripts(a, 1) as place, unnest(a) as e from a),
+        f as (select id, place, {strip("coalesce(e->>'$.query', '')")} as query, json_extract_string(e, '$.must_contain[*]') as must from e where json_type(e, '$.must_contain') = 'ARRAY')
+        select id, row_number() over (partition by id order by place) - 1 as n, query, array_to_string({needles}, ',') as needles from f where query <> '' and len(must) > 0"""
+
+
+def _recall(k: int) -> str:
     asked = f"select doc_id || '-' || query_no as query_id, query, must_contain from ({_fallback('(select * from documents where doc_id % 100 = 0)')})"
     worded = _tf(f"(select query_id, query || ' ' || array_to_string(must_contain, ' ') as text from ({asked}))", "query_id")
     parts = []
-    for m in ("fixed", "recursive"):
-        chunks = f"select doc_id || '-{m}-' || chunk_ord as id, text from ({unnested(_ALL_DOCS, CHUNKS[m], 'chunk_ord')})"
+    for m in REGISTRY:
+        source = globals()[m](_ALL_DOCS) if m in ("format_aware", "hierarchical") else unnested(_ALL_DOCS, CHUNKS[m], "chunk_ord")
+        chunks = f"select doc_id || '-{m}-' || chunk_ord as id, text from ({source})"
         parts.append(f"""
-            select '{m}' as method, round(hits / total, 6) as recall_at_k, num_chunks, 3 as k, total as total_queries, hits from
-            (select count(distinct h.query_id) as hits from {_topk(_tf(f'({chunks})', 'id'), 'id', worded, 3)} h join ({chunks}) c using (id) join ({asked}) a using (query_id)
+            select '{m}' as method, round(hits / total, 6) as recall_at_k, num_chunks, {k} as k, total as total_queries, hits from
+            (select count(distinct h.query_id) as hits from {_topk(_tf(f'({chunks})', 'id'), 'id', worded, k)} h join ({chunks}) c using (id) join ({asked}) a using (query_id)
                 where len(list_filter(a.must_contain, lambda n: n <> '' and contains({_MATCH('c.text')}, {_MATCH('n')}))) > 0),
             (select count(*) as total from ({asked})), (select count(*) as num_chunks from ({chunks}))""")
     return " union all ".join(parts)

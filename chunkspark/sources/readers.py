@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,12 @@ from chunkspark.functions.text import is_blank, strip
 RESULT_SCHEMA = "method string, num_chunks long, avg_chunk_len double, std_chunk_len double, max_chunk_len long, min_chunk_len long, total_chars long, compression_ratio double, chunks array<string>"
 RETRIEVAL_SCHEMA = "method string, recall_at_k double, recall double, num_chunks long, k long, total_queries long, hits long"
 
-# Queries that are used where no file of queries is given.
+#: Queries that are used where no file of queries is given.
 DEMO_QUERIES = [
-    ("what is adaptive hierarchical graph chunking", ["adaptive", "chunk"]),
-    ("how do we build the graph", ["graph", "edge"]),
-    ("show me the configuration example", ["levels", "linkers"]),
-    ("what are evaluation metrics", ["coverage", "retrieval"]),
+    ("how is a document cut into chunks", ["chunk", "segment"]),
+    ("which nodes does the graph have", ["node", "section"]),
+    ("how large may a chunk be", ["token", "limit"]),
+    ("how is retrieval measured", ["recall", "hit"]),
 ]
 
 
@@ -52,19 +53,46 @@ def explode_chunks(results: DataFrame) -> DataFrame:
     return results.where("chunks is not null").select("file", "method", F.posexplode("chunks").alias("chunk_ord", "text"))
 
 
+def read_retrieval(spark: SparkSession, path: str) -> DataFrame:
+    """Result lines of retrieval runs with ``doc``, the document their file is named for; files of runs at k = 1 (named
+    ``..._k1.jsonl``) are left out, and so are lines without a method."""
+    rows = read_results(spark, path, RETRIEVAL_SCHEMA).where(~F.endswith("file", F.lit("_k1.jsonl")))
+    return rows.where("method is not null").withColumn("doc", F.regexp_replace(file_stem("file"), "_retrieval$", ""))
+
+
+QUERY_SCHEMA = "query string, must_contain array<string>"
+
+
 def read_queries(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """``(query, must_contain)`` of JSON arrays of queries; entries without both are dropped; without a path, four
-    built-in ones. YAML files are read on the driver where the package is installed."""
-    schema = "query string, must_contain array<string>"
+    """``(query, must_contain)`` of files that hold an array of queries each; entries without both are dropped.
+
+    Each file is read as JSON, else as YAML where the package is installed. Without a path, or where nothing can be
+    read, the four built-in queries.
+    """
+    demo = spark.createDataFrame(DEMO_QUERIES, QUERY_SCHEMA)
     if path is None:
-        return spark.createDataFrame(DEMO_QUERIES, schema)
-    if path.endswith((".yml", ".yaml")):
-        import yaml
+        return demo
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(q["query"], q["must_contain"]) for text in pdf["value"] for q in _entries(text) if isinstance(q, dict) and isinstance(q.get("query"), str) and isinstance(q.get("must_contain"), list)]
+            yield pd.DataFrame({"query": [r[0] for r in rows], "must_contain": [[str(x) for x in r[1]] for r in rows]}, dtype=object)
+
+    found = spark.read.text(path, wholetext=True).mapInPandas(run, QUERY_SCHEMA)
+    return found if found.take(1) else demo
+
+
+def _entries(text: str) -> list:
+    try:
+        found = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
 
-        with open(path, encoding="utf-8") as f:
-            rows = [(q["query"], q["must_contain"]) for q in yaml.safe_load(f) or [] if isinstance(q, dict) and "query" in q and "must_contain" in q]
-        return spark.createDataFrame(rows, schema)
-    return spark.read.schema(schema).json(path, multiLine=True).where("query is not null and must_contain is not null")
+            found = yaml.safe_load(text)
+        except Exception:  # noqa: BLE001  no such package, or no such file: nothing to read
+            found = []
+    return found if isinstance(found, list) else []
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -82,13 +110,17 @@ def normalized_name(name: Column | str) -> Column:
     return F.replace(F.lower(name), F.lit(" "), F.lit("_"))
 
 
-def read_pdfs(spark: SparkSession, path: str, extract: Callable[[bytes], str | None] | None = None) -> DataFrame:
-    """``(doc_id, text)`` of PDF files by ``extract`` (the optional pdfminer package by default); null where it fails."""
+def read_pdfs(spark: SparkSession, path: str, extract: Callable[[bytes], str | None] | None = None, second: Callable[[bytes], str | None] | None = None) -> DataFrame:
+    """``(doc_id, text)`` of PDF files by ``extract`` (the optional pdfminer package by default), and where that fails or
+    finds only blanks by ``second``; null where both fail."""
 
     def run(batches):
         get = extract or _pdfminer
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [_quietly(get, c) for c in pdf["content"]]})
+            texts = [_quietly(get, c) for c in pdf["content"]]
+            if second is not None:
+                texts = [t if t and t.strip() else _quietly(second, c) for t, c in zip(texts, pdf["content"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
 
     files = spark.read.format("binaryFile").load(path).select(file_stem(F.element_at(F.split("path", "/"), -1)).alias("doc_id"), "content")
     return files.mapInPandas(run, "doc_id string, text string")

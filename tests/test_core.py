@@ -83,6 +83,7 @@ def test_cleaning(spark):
     assert one(spark, r"\section*{ A }", clean.latex_headings) == "### A"
     assert one(spark, "x\nReferences\ny", clean.drop_references) == "x\n"
     assert one(spark, " 1.2   Title  ", clean.numeric_headings) == "1.2 Title"
+    assert one(spark, "1.2  A   B\tC\n x  y", clean.numeric_headings) == "1.2 A B C\n x  y"
     assert one(spark, "αé  b", clean.ascii_and_greek) == "α b"
     assert one(spark, "a\r\n\r\n\r\nb \n", clean.clean_text) == "a\n\nb\n"
 
@@ -123,8 +124,73 @@ def test_summaries(spark):
     def client():
         return lambda asked: json.dumps({"seg_0": "S"}) if asked.startswith("Summarise each") else "single"
 
-    out = hierarchy.summarize_with(rows.where("text is not null"), client)
-    assert {r.summary for r in out.collect()} == {"Alpha", "S"}
+    out = hierarchy.summarize_with(rows, client)
+    assert {r.summary for r in out.collect()} == {"Alpha", "S", None}
+
+
+LONG = "This passage has more than forty code points, number {}."
+
+
+def _client(batch, single="single"):
+    def make():
+        def answer(asked):
+            if not asked.startswith("Summarise each"):
+                return single
+            if isinstance(batch, Exception):
+                raise batch
+            return batch
+
+        return answer
+
+    return make
+
+
+@pytest.mark.parametrize(
+    ("batch", "expected"),
+    [
+        ('```json\n{"seg_0": "A", "seg_1": " B "}\n```', ["A", "B"]), ('Here: {"seg_0": "A"} done', ["A", "single"]), ("no object", ["single", "single"]),
+        ('["A", "B"]', ["single", "single"]), ('{"seg_0": 1, "seg_1": ""}', ["single", "single"]), (OSError("down"), ["single", "single"]), (" ", ["single", "single"]),
+    ],
+)
+def test_summaries_fall_back_one_by_one(spark, batch, expected):
+    rows = spark.createDataFrame([(i, LONG.format(i)) for i in range(2)], "i int, text string").coalesce(1)
+    assert [r.summary for r in hierarchy.summarize_with(rows, _client(batch)).orderBy("i").collect()] == expected
+
+
+def test_a_blank_answer_is_an_error(spark):
+    rows = spark.createDataFrame([(LONG,)], "text string")
+    with pytest.raises(Exception, match="blank answer"):
+        hierarchy.summarize_with(rows, _client("x", " \n")).collect()
+    with pytest.raises(ValueError, match="blank"):
+        hierarchy.ask(lambda p: "", "x")
+
+
+def test_hierarchies_of_a_client(spark):
+    seg = spark.createDataFrame([("d", f"seg_{i}", i, t, s) for i, (t, s) in enumerate([("A", "a"), ("B", None), (None, None)])] + [("e", "seg_0", 0, "x", "x")], "doc_id string, segment_id string, seg_order int, text string, summary string")
+
+    def client():
+        return lambda asked: '{"sections":[{"section_id":"k","section_title":null,"segment_ids":["seg_0","seg_1","seg_2"]}]}' if "seg_0: a\nseg_1: B\nseg_2: " in asked else "nothing"
+
+    rows = {r.doc_id: r for r in hierarchy.induce_hierarchy(seg, hierarchy.responses_with(seg, client)).collect()}
+    assert (rows["d"].valid, rows["d"].sections[0].section_id) == (True, "k")
+    assert (rows["e"].valid, rows["e"].sections[0].section_title) == (False, "All Segments")
+
+
+def test_rule_sections_do_not_depend_on_ranges(spark, monkeypatch):
+    texts = ["# H" if i in (3, 11, 12, 29) else f"text {i}" for i in range(40)]
+    seg = spark.createDataFrame([(d, f"seg_{i}", i, t, None if i % 7 == 0 else t) for d in ("a", "b") for i, t in enumerate(texts)], "doc_id string, segment_id string, seg_order int, text string, summary string")
+    whole = {tuple(r) for r in hierarchy.rule_sections(seg).collect()}
+    monkeypatch.setattr(hierarchy, "RANGE", 4)
+    assert {tuple(r) for r in hierarchy.rule_sections(seg).collect()} == whole
+    starts = {i for i in range(40) if i in (0, 3, 11, 12, 29)}
+    last = 0
+    for i in range(40):
+        last = i if i in starts or i - last == 5 else last
+        starts.add(last)
+    firsts = {}
+    for _, _, i, sec, _ in whole:
+        firsts[sec] = min(i, firsts.get(sec, i))
+    assert set(firsts.values()) == starts
 
 
 def test_graph(spark):
@@ -145,6 +211,14 @@ def test_search(spark):
     assert [(r.chunk_id, r.score) for r in search.topk_dense(index, q, 9).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0), (3, 0.0), (4, 0.0)]
     assert search.topk_dense(index, q, 0).count() == 0
     assert search.topk_dense(index.limit(0), q, 3).count() == 0
+    assert search.topk_dense(index, q.limit(0), 3).count() == 0
+    odd = spark.createDataFrame([(8, None), (9, [1.0]), (7, [1.0, 0.0])], "query_id int, vector array<float>")
+    alone = [(r.query_id, r.chunk_id, r.score) for part in (odd.where("query_id = 8"), odd.where("query_id = 9"), odd.where("query_id = 7")) for r in search.topk_dense(index, part, 2).collect()]
+    assert sorted(alone) == sorted((r.query_id, r.chunk_id, r.score) for r in search.topk_dense(index, odd, 2).collect())
+    assert len(alone) == 6
+    assert {tuple(r) for r in search.topk_dense(index, odd, 2, block=1).collect()} == {tuple(r) for r in search.topk_dense(index, odd, 2).collect()}
+    two = index.withColumn("m", F.when(F.col("chunk_id") < 3, "x").otherwise("y"))
+    assert sorted((r.m, r.chunk_id) for r in search.topk_dense(two, q, 1, by="m").collect()) == [("x", 1), ("y", 3)]
     tf = search.hash_embedding(docs(spark, "a b", "b c", "z", ""), ["doc_id"], "text")
     sparse = search.topk_sparse(tf, search.hash_embedding(docs(spark, "b"), ["doc_id"], "text").withColumnRenamed("doc_id", "query_id"), 3, ["doc_id"], ["doc_id"], docs(spark, "a b", "b c", "z", ""))
     assert [(r.doc_id, r.score) for r in sparse.orderBy("rank").collect()] == [(0, 0.707107), (1, 0.707107), (2, 0.0)]
@@ -167,6 +241,129 @@ def test_query_generation(spark):
     assert len(out) == 20
 
 
+def test_search_in_a_grid_equals_one_block(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(300)], "vec_id int, vector array<float>")
+    queries = rows.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    one_block, grid = ({tuple(r) for r in search.topk_dense(rows, queries, 3, "vec_id", block=b).collect()} for b in (1000, 4))
+    assert one_block == grid
+    assert len(grid) == 3 * 43
+
+
+def test_embed(spark):
+    import numpy as np
+
+    out = search.embed(docs(spark, "ab", None), "text", lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])).orderBy("doc_id").collect()
+    assert [r.vector for r in out] == [[2.0, 1.0], [0.0, 1.0]]
+
+
+def test_evaluate(spark):
+    chunks = spark.createDataFrame([("m", 1, "alpha beta"), ("m", 2, "gamma delta"), ("n", 1, "alpha gamma"), ("n", 2, None)], "method string, id int, text string")
+    asked = spark.createDataFrame([("alpha beta", ["Beta"]), ("gamma", ["delta"]), (" ", ["x"]), ("alpha", [])], "query string, must_contain array<string>")
+    rows = {r.method: (r.recall_at_k, r.num_chunks, r.total_queries, r.hits) for r in evaluate.evaluate(chunks, asked, 0).collect()}
+    assert rows == {"m": (0.666667, 2, 3, 2), "n": (0.0, 2, 3, 0)}
+    table = evaluate.rounded(chunkers.chunk_stats(chunkers.chunk_arrays(docs(spark, "A. B. C. D."), ["sentence"]), ["method"])).first()
+    assert (table.avg_chunk_len, table.compression_ratio) == (5.0, 1.1)
+
+
+def test_hooks(spark):
+    codes = lambda: (lambda t: [ord(c) for c in t], lambda ids: "".join(map(chr, ids)))
+    assert one(spark, "abcde fg", lambda t: chunkers.token_limit(t, 3, codes)) == ["abc", "de", "fg"]
+    assert one(spark, "a. b. c. d.", lambda t: chunkers.semantic(t, lambda: lambda x: x.split("b"))) == ["a.", ". c. d."]
+    assert one(spark, "a. b. c. d.", lambda t: chunkers.semantic(t, lambda: lambda x: 1 / 0)) == ["a. b. c.", "d."]
+    assert one(spark, "a|b|c|d", lambda t: chunkers.sentence(t, 2, lambda c: F.split(c, r"\|"))) == ["a b", "c d"]
+    sec = spark.createDataFrame([("d", "s", "T", "abcd")], "doc_id string, section_id string, section_title string, text string")
+    assert [r.text for r in sections.rechunk(sec, 3, 1, tokenize=lambda c: F.split(c, "")).orderBy("chunk_ord").collect()] == ["a b c", "c d"]
+
+
+def test_hierarchical_equals_the_pipeline(spark):
+    raw = "\n\n".join(["# A", *[f"part {i} " + "word " * 90 for i in range(7)], "2. B", "end", " "])
+    parts = pipeline.ingest(docs(spark, raw))
+    want = [r.text for r in parts.chunks.join(parts.sections.select("section_id", "sec_order"), "section_id").orderBy("sec_order", "chunk_ord").collect()]
+    assert one(spark, raw, chunkers.hierarchical) == want
+    assert len(want) > 3
+    assert one(spark, " ", chunkers.hierarchical) == one(spark, None, chunkers.hierarchical) == []
+
+
+def test_query_job(spark):
+    rows = spark.createDataFrame([(f"d{i}", f"alpha beta {i}") for i in range(4)], "doc_id string, text string")
+    good = json.dumps([{"query": f"q{i}", "must_contain": [" N "]} for i in range(10)])
+
+    def client():
+        def answer(asked):
+            if "Paper: d1" in asked:
+                raise OSError("down")
+            return f"```json\n{good}\n```" if "Paper: d0" in asked else "?"
+
+        return answer
+
+    out = querygen.job(rows, client, existing=rows.where("doc_id = 'd2'").select("doc_id"), limit=3).collect()
+    assert {(r.doc_id, r.must_contain[0]) for r in out} == {("d0", " n ")}
+    out = querygen.job(rows, client, existing=rows.select("doc_id"), overwrite=True, allow_fallback=True).collect()
+    assert {r.doc_id for r in out} == {"d0", "d1", "d2", "d3"}
+    asked = one(spark, "The text", lambda t: querygen.prompt(t, F.lit("n.txt"), F.array(*[F.lit(f"k{i}") for i in range(30)])))
+    assert "n.txt" in asked and "k24" in asked and "k25" not in asked and asked.endswith("The text")
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.json").write_text('[{"query": "A", "must_contain": ["x"]}, {"query": "B"}, 3]', encoding="utf-8")
+    assert [tuple(r) for r in readers.read_queries(spark, str(tmp_path / "q")).collect()] == [("A", ["x"])]
+    (tmp_path / "bad.json").write_text("{not json", encoding="utf-8")
+    assert readers.read_queries(spark, str(tmp_path / "bad.json")).count() == 4
+    try:
+        import yaml  # noqa: F401
+    except ImportError:
+        pass
+    else:
+        (tmp_path / "b.json").write_text("- query: C\n  must_contain: [y, z]\n", encoding="utf-8")
+        assert [tuple(r) for r in readers.read_queries(spark, str(tmp_path / "b.json")).collect()] == [("C", ["y", "z"])]
+    (tmp_path / "p").mkdir()
+    for name in ("a.pdf", "b.pdf", "c.pdf"):
+        (tmp_path / "p" / name).write_bytes(name.encode())
+
+    def first(content):
+        if content == b"c.pdf":
+            raise ValueError("damaged")
+        return " " if content == b"b.pdf" else "text"
+
+    rows = readers.read_pdfs(spark, str(tmp_path / "p"), first, lambda c: "second" if c == b"b.pdf" else None)
+    assert {tuple(r) for r in rows.collect()} == {("a", "text"), ("b", "second"), ("c", None)}
+    raw = docs(spark, "x" * 30, "y", None, "z" * 40)
+    assert {r.doc_id for r in readers.prepare(raw, raw.where("doc_id = 3").select("doc_id"), least=10).collect()} == {0}
+    assert readers.prepare(raw, least=1, limit=2).count() == 2
+    arrays = chunkers.chunk_arrays(docs(spark, "A. B. C. D."), ["sentence"]).select("method", "chunks")
+    readers.write_results(arrays, str(tmp_path / "r"))
+    back = readers.explode_chunks(readers.read_results(spark, str(tmp_path / "r")))
+    assert [(r.method, r.chunk_ord, r.text) for r in back.orderBy("chunk_ord").collect()] == [("sentence", 0, "A. B. C."), ("sentence", 1, "D.")]
+    (tmp_path / "e").mkdir()
+    for name in ("one_retrieval.jsonl", "one_retrieval_k1.jsonl"):
+        (tmp_path / "e" / name).write_text('{"method": "fixed", "recall_at_k": 0.5}\n', encoding="utf-8")
+    assert [(r.doc, r.recall_at_k) for r in readers.read_retrieval(spark, str(tmp_path / "e")).collect()] == [("one", 0.5)]
+
+
+def test_streams_of_chunks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("A. B. C. D.", encoding="utf-8")
+    seen = []
+    q = streams.each_batch(streams.chunk_stream(streams.document_stream(spark, str(tmp_path / "in")), ["sentence"]), lambda df, i: seen.extend(r.text for r in df.collect()), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert sorted(seen) == ["A. B. C.", "D."]
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from chunkspark import session
+
+    conf = SimpleNamespace(get=lambda key: None)
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(fake)
+
+
 def test_files_and_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.b.txt").write_text("A\n\nB", encoding="utf-8")
