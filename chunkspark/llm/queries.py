@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from chunkspark.llm import mixing, near_dup, packing, pairs, quality, scan_repair, sentences, split_oversized
 from chunkspark.llm.token_count import DUCKDB, token_count
+from chunkspark.session import spread
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -89,6 +89,8 @@ _THAI = re.compile(r"\s+")
 _THAI_NO = re.compile(r"[0-9๐-๙A-Za-zÀ-ɏ]")
 _HEADING = re.compile(r"\s*(?:#{1,6}\s+(?:\d+(?:\.\d+)*[.)]?\s+)?|\d+(?:\.\d+)*[.)]?\s+|[-*•◦–]\s+)")
 _BLANK = re.compile(r"\s*")
+#: Code points before a candidate that the rules look at: their longest patterns span two words, of which one is an
+#: initial or an abbreviation; where the other one begins further back, the window's own start stands for its blank.
 _WINDOW = 32
 
 

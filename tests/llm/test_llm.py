@@ -276,6 +276,33 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), "id", "n", spark.createDataFrame([(10,)], "capacity int")).count() == 0
 
 
+def test_products_of_the_tables(spark, folder):
+    """Each item once in each kind of container, none over its capacity; copies within their caps, shares as reported."""
+    from chunkspark.llm import queries
+
+    sizes = {r.doc_id: r.tokens for r in queries._sizes(spark, folder).collect() if r.tokens}
+    rows = queries.p6_containers(spark, folder).collect()
+    capacities = {r.capacity for r in rows}
+    assert capacities == {r.capacity for r in spark.read.parquet(f"{folder}/container.parquet").collect()}
+    for capacity in capacities:
+        placed, filled = {}, {}
+        for r in (r for r in rows if r.capacity == capacity):
+            placed[r.doc_id] = placed.get(r.doc_id, 0) + r["size"]
+            filled[r.container] = filled.get(r.container, 0) + r["size"]
+        assert placed == sizes
+        assert max(filled.values()) <= capacity
+        assert set(filled) == set(range(len(filled)))
+        assert all(r.parts == 1 or sizes[r.doc_id] > capacity for r in rows if r.capacity == capacity)
+    report = {(r.mix_id, r.source.strip().lower()): r for r in queries.p7_report(spark, folder).collect()}
+    given = {}
+    for r in queries.p7_copies(spark, folder).collect():
+        assert r.copies <= report[r.mix_id, r.source].max_repeats
+        given[r.mix_id, r.source] = given.get((r.mix_id, r.source), 0) + r.copies * r.tokens
+    for key, r in report.items():
+        assert r.actual == given.get(key, 0)
+        assert abs(r.actual - r.wanted) <= max(sizes.values()) or not r.reachable
+
+
 def test_pack_drops_no_capacity(spark):
     df = spark.createDataFrame([(1, 3)], "id int, n int")
     with pytest.raises(ValueError, match="capacities"):
