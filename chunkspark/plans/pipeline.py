@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkspark.operators import graph, hierarchy, sections, segment
+from chunkspark.session import written
 
 
 class Ingested(NamedTuple):
@@ -16,12 +17,14 @@ class Ingested(NamedTuple):
     chunks: DataFrame
 
 
-def ingest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sep: str = "\n\n", max_tokens: int = 200, overlap: int = 30, responses: DataFrame | None = None) -> Ingested:
+def ingest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sep: str = "\n\n", max_tokens: int = 200, overlap: int = 30, responses: DataFrame | None = None, write: bool = False) -> Ingested:
     """Segments, sections and chunks of ``df``; ``responses(doc_id, response)`` are a model's hierarchies, by default
-    the rule's. All of it is lazy and keyed by document."""
+    the rule's. All of it is lazy and keyed by document, unless the sections are to be written once (``write``) because
+    several results are read from them."""
     segments = segment.segments(df, id_col, text_col, sep)
     answers = hierarchy.rule_responses(hierarchy.summarize(segments)) if responses is None else responses
     parts = sections.materialize(hierarchy.induce_hierarchy(segments, answers), segments)
+    parts = written(parts) if write else parts
     return Ingested(segments, parts, sections.rechunk(parts, max_tokens, overlap))
 
 

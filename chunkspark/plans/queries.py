@@ -341,4 +341,4 @@ def filename_normalize(spark, folder):
 
 @query
 def ingestion_report(spark, folder):
-    return pipeline.report(pipeline.ingest(section_docs(spark, folder)))
+    return pipeline.report(pipeline.ingest(section_docs(spark, folder), write=True))
