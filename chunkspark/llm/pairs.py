@@ -40,6 +40,9 @@ REFUSALS = [
     "抱歉，我", "对不起，我", "作为语言模型", "很遗憾，我", "我无法", "请重新发送", "请提供",
     "申し訳ありません", "申し訳ございません", "言語モデルとして", "恐れ入りますが", "要約できません", "お答えできません",
     "ขออภัย", "ในฐานะแบบจำลองภาษา", "ฉันไม่สามารถสรุป", "กรุณาส่งข้อความ", "โปรดส่ง", "เสียใจ",
+    "i apologize", "i apologise", "i'm afraid i can", "i am afraid i can", "i do not have access", "i don't have access", "i cannot help", "i can't help", "i cannot assist", "i can't assist", "i must refuse", "please provide the passage", "could you share the text", "could you provide the",
+    "ich bedaure", "ich bedauere", "ich kann das nicht zusammenfassen", "ich kann ihnen nicht", "bitte geben sie den text", "je regrette, je", "je ne peux pas répondre", "je ne peux pas vous aider", "je n'ai pas accès", "no tengo acceso", "no puedo ayudar", "no puedo responder",
+    "не могу помочь", "я не могу выполнить", "у меня нет доступа", "لا أستطيع", "मैं & नहीं कर सकता", "मैं & नहीं कर सकती", "无法提供摘要", "我不能", "要約はできません", "お手伝いできません", "ไม่สามารถสรุปได้", "ฉันไม่สามารถ", "ผมไม่สามารถ",
 ]
 
 LEAST_COPIED = 40

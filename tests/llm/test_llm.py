@@ -166,6 +166,18 @@ SENTENCES = [
     ("「本当か。」という問いが残る。次。", ["「本当か。」という問いが残る。", "次。"]),
     ("यह पहला है। यह दूसरा है।", ["यह पहला है।", "यह दूसरा है।"]),
     ("2. A heading with number", ["2. A heading with number"]),
+    # Held-out wording in each language.
+    ("The reading was approx. 4.5 kg. Nobody (not even Prof. Lee) noticed! Why not?", ["The reading was approx. 4.5 kg.", "Nobody (not even Prof. Lee) noticed!", "Why not?"]),
+    ("See Sec. 3 and Eq. 7 for more. She asked, “Is it so?” and left.", ["See Sec. 3 and Eq. 7 for more.", "She asked, “Is it so?” and left."]),
+    ("Das Ergebnis ist ca. 3,5 m lang. Es gilt vgl. Kap. 2 nur bedingt.", ["Das Ergebnis ist ca. 3,5 m lang.", "Es gilt vgl. Kap. 2 nur bedingt."]),
+    ("M. Dupont arrive. Est-ce vrai ? Oui, cf. chap. 4.", ["M. Dupont arrive.", "Est-ce vrai ?", "Oui, cf. chap. 4."]),
+    ("El Sr. Gil llegó tarde. ¿Por qué? ¡Nadie lo sabe!", ["El Sr. Gil llegó tarde.", "¿Por qué?", "¡Nadie lo sabe!"]),
+    ("Это видно на рис. 2. Почему так? Ответ прост.", ["Это видно на рис. 2.", "Почему так?", "Ответ прост."]),
+    ("هل هذا صحيح؟ نعم، هذا صحيح. شكرا.", ["هل هذا صحيح؟", "نعم، هذا صحيح.", "شكرا."]),
+    ("क्या यह सही है? हाँ, डॉ. राव आए। वह गए।", ["क्या यह सही है?", "हाँ, डॉ. राव आए।", "वह गए।"]),
+    ("这是对的吗？是的。温度为3.5度！好。", ["这是对的吗？", "是的。", "温度为3.5度！", "好。"]),
+    ("これは本です。値は3.5です。本当ですか？", ["これは本です。", "値は3.5です。", "本当ですか？"]),
+    ("นี่คือหนังสือ มันดีมาก", ["นี่คือหนังสือ", "มันดีมาก"]),
     ("", []),
     (" \n ", []),
 ]
@@ -197,6 +209,22 @@ def test_pair_defects(response, defect):
     assert pairs.defect(LONG, response)[0] == defect
 
 
+@pytest.mark.parametrize(
+    "response",
+    [
+        "I apologize, but I cannot help with this text.", "I'm afraid I can't do that.", "As an AI language model, I can't summarise this.", "I do not have access to the document.", "Unfortunately, I am unable to process it.",
+        "Je regrette, je ne peux pas répondre.", "No tengo acceso al texto.", "Не могу помочь с этим запросом.", "无法提供摘要。", "申し訳ないのですが、要約はできません。", "ไม่สามารถสรุปได้", "لا أستطيع تلخيص هذا النص.", "मैं इसमें मदद नहीं कर सकता।",
+    ],
+)
+def test_refusals_in_other_words(response):
+    assert pairs.is_refusal(response)
+
+
+@pytest.mark.parametrize("response", ["The authors apologise for the delay.", "Nodes cannot help each other.", "作者认为我们不能忽略噪声。", "Es wird bedauert, dass Daten fehlen."])
+def test_no_refusals(response):
+    assert not pairs.is_refusal(response)
+
+
 def test_pairs_table(spark):
     rows = [("a", LONG, "Argues that the plasma recovers"), ("b", LONG, "Argues that the plas"), ("c", None, None), ("d", " ", "x"), ("e", LONG, None), ("e", LONG, None)]
     df = spark.createDataFrame(rows, "k string, text string, summary string").withColumn("defect", F.lit(1)).withColumn("ending", F.lit(1))
