@@ -109,6 +109,28 @@ def masked(s: str) -> str:
     return strokes(_OWN_NUMBER.sub("#", _EDGE_NUMBER.sub("", s).strip(" ")) if _DIGIT.search(s) else s)
 
 
+def is_number(s: str, next_blank: bool) -> bool:
+    """Whether a line is a page number, perhaps in words."""
+    if len(s) > 40:
+        return False
+    if s.isdigit() and s.isascii():
+        return len(s) < 5 and not next_blank
+    return bool(_PAGE_NUMBER.fullmatch(s) or _SOME_NUMBER.search(s) and _PAGE_WORD.fullmatch(strokes(s)))
+
+
+def numbered_tails(text: str) -> Iterator[tuple[int, str, bool]]:
+    """(line number, its last words, whether it stands apart) of lines that end in a number as volumes of a journal do."""
+    raw = text.replace("\r", "").replace("\0", " ").split("\n")
+    clean = lambda i: raw[i].replace("\f", "").strip()
+    for i, line in enumerate(raw):
+        if not line or not (line[-1].isdigit() or line[-1].isspace()):
+            continue
+        s = clean(i)
+        if s and s[-1].isdigit() and (s[0].isupper() or s[0].isdigit()) and _TAIL_LINE.fullmatch(s) and (m := _TAIL.search(masked(s))):
+            apart = "\f" in line or i == 0 or not clean(i - 1) or i + 1 < len(raw) and not clean(i + 1)
+            yield i + 1, m[0], apart or is_number(clean(i - 1), False)
+
+
 class Page:
     """The lines of one document that are not blank, and what they are by themselves."""
 
@@ -125,7 +147,7 @@ class Page:
         self.leads = [False] * len(self.no)  # begins with a capital or a digit
         for i, s in enumerate(self.s):
             c = s[0]
-            if len(s) <= 40 and self._is_number(i, s):
+            if is_number(s, self.next_blank[i]):
                 self.number[i] = True
             if c.isupper() or c.isdigit():
                 self.leads[i] = True
@@ -134,23 +156,12 @@ class Page:
                     self.author[i] = (c.isdigit() or s[1:2] == "." or s.split(" ", 2)[1:2] in _AND) and bool(_AUTHOR.fullmatch(s))
         self.same = Counter(self.mask(i) for i, s in enumerate(self.s) if self.leads[i] and len(s) <= _SHORT)
 
-    def _is_number(self, i: int, s: str) -> bool:
-        if s.isdigit() and s.isascii():
-            return len(s) < 5 and not self.next_blank[i]
-        return bool(_PAGE_NUMBER.fullmatch(s) or _SOME_NUMBER.search(s) and _PAGE_WORD.fullmatch(strokes(s)))
-
     def mask(self, i: int) -> str:
         found = self._mask.get(i)
         if found is None:
             found = self._mask[i] = masked(self.s[i])
         return found
 
-    def tails(self) -> Iterator[tuple[int, str, bool]]:
-        """(line, its last words, whether it stands apart) of lines that end in a number as volumes of a journal do."""
-        for i, s in enumerate(self.s):
-            if self.leads[i] and s[-1].isdigit() and _TAIL_LINE.fullmatch(s) and (m := _TAIL.search(self.mask(i))):
-                yield i, m[0], self.ff[i] or self.after_blank[i] or self.next_blank[i] or i == 0 or self.number[i - 1]
-
     def _repeats(self, i: int) -> bool:
         return self.same[self.mask(i)] > 1
 
@@ -194,10 +205,9 @@ def _tail_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, rows = [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
-            page = Page(text)
-            for line, tail, apart in page.tails():
+            for line_no, tail, apart in numbered_tails(text):
                 at.append(i)
-                rows.append((page.no[line], tail, int(apart)))
+                rows.append((line_no, tail, int(apart)))
         no, tails, apart = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(no, pa.int32()), pa.array(tails, pa.string()), pa.array(apart, pa.int32())], ["doc_id", "line_no", "tail", "apart"])
 
