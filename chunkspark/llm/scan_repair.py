@@ -308,9 +308,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.update(_words_of(lines, cuts))
             for text in lines:
                 if "-" in text:
-                    for compound in _COMPOUND.findall(text.lower()):
-                        parts = compound.split("-")
-                        pairs.update(map("-".join, zip(parts, parts[1:])))
+                    for piece in [x for x in text.lower().split() if "-" in x]:
+                        for compound in _COMPOUND.findall(piece):
+                            parts = compound.split("-")
+                            pairs.update(map("-".join, zip(parts, parts[1:])))
             if len(words) + len(pairs) > MOST_COUNTED:
                 yield rows()
                 words.clear()
