@@ -397,3 +397,48 @@ def test_entry(spark, folder):
 
     assert __spark_entry__.entry(spark).count() == len(chunkers.REGISTRY)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_evaluation_computes_every_chunk_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def chunk(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([("m", i, f"word{i % 7} alpha") for i in range(40)], "method string, id int, text string")
+    asked = spark.createDataFrame([("word3", ["Word3"]), ("word5", ["word6"])], "query string, must_contain array<string>")
+    got = evaluate.evaluate(rows.mapInPandas(chunk, rows.schema), asked, 1).collect()
+    assert [(r.num_chunks, r.hits) for r in got] == [(40, 1)]
+    assert calls.value == 40
+
+
+def test_best_rows_equal_all_scores():
+    import random
+
+    import numpy as np
+
+    from chunkspark.operators import best
+
+    rng = random.Random(7)
+    bag = lambda most: {rng.randrange(32): rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(most))}
+    rows, asked = [bag(9) for _ in range(900)], [bag(6) for _ in range(60)] + [{31: 1}]
+    rows = [{b: w for b, w in r.items() if b != 31} for r in rows]  # the last query meets no row
+    for k, positive in ((1, False), (3, False), (3, True), (70, False)):
+        keep = best.Best(best.tree(asked), k, 32, positive=positive)
+        for part in (range(0, 900, 3), range(1, 900, 3), range(2, 900, 3)):
+            pairs = [(i, b, w) for i, r in enumerate(part) for b, w in rows[r].items()]
+            i, b, w = (np.array(x, np.int64) for x in zip(*pairs))
+            keep.add("m", [f"{r:03}" for r in part], i, b, w)
+        want = {}
+        for j, q in enumerate(asked):
+            dots = [(sum(w * r.get(b, 0) for b, w in q.items()), f"{i:03}", r) for i, r in enumerate(rows) if r and q]
+            scored = [(-float(best.rounded(np.array(d / (np.sqrt(sum(w * w for w in r.values())) * np.sqrt(sum(w * w for w in q.values())))))), key) for d, key, r in dots if d or not positive]
+            if scored:
+                want[j] = sorted(scored)[:k]
+        got = {}
+        for j, _, key, score, _ in keep.rows():
+            got.setdefault(j, []).append((-score, key))
+        assert got == {j: x for j, x in want.items() if x}
+    assert best.rounded(np.array([13 / 128, 0.1234564999])).tolist() == [0.101563, 0.123456]
