@@ -442,3 +442,28 @@ def test_best_rows_equal_all_scores():
             got.setdefault(j, []).append((-score, key))
         assert got == {j: x for j, x in want.items() if x}
     assert best.rounded(np.array([13 / 128, 0.1234564999])).tolist() == [0.101563, 0.123456]
+
+
+def test_sparse_search_shuffles_no_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    index = spark.createDataFrame([(i, b, rng.choice([1, 1, 2])) for i in range(200) for b in rng.sample(range(-5, 900, 9), 12)], "doc_id int, bucket int, tf long")
+    queries = index.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "query_id").withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    # The join on the buckets, as SQL has it.
+    index.createOrReplaceTempView("x")
+    queries.createOrReplaceTempView("y")
+    want = spark.sql("""
+        with dots as (select query_id, doc_id, sum(x.tf * y.tf) as dot from x join y using (bucket) group by 1, 2),
+        s as (select query_id, doc_id, round(dot / (sqrt((select sum(tf * tf) from x where x.doc_id = dots.doc_id)) * sqrt((select sum(tf * tf) from y where y.query_id = dots.query_id))), 6) as score from dots)
+        select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 4""")
+    want = {tuple(r) for r in want.collect()}
+    for block in (1000, 5):
+        got = search.topk_sparse(index, queries, 4, ["doc_id"], ["doc_id"], block=block)
+        assert {tuple(r) for r in got.collect()} == want
+    few = search.topk_sparse(index.where("doc_id < 2"), queries, 4, ["doc_id"], ["doc_id"], index.select("doc_id").distinct())
+    assert few.groupBy("query_id").count().where("count = 4").count() == 23
+    lone = spark.createDataFrame([(i, 0, 1) for i in range(200)], "doc_id int, bucket int, tf long")
+    top = search.topk_sparse(lone, lone.withColumnRenamed("doc_id", "query_id"), 1, ["doc_id"], ["doc_id"])
+    assert {r.doc_id for r in top.collect()} == {0}
+    assert "SortMergeJoin" not in top._jdf.queryExecution().toString()
