@@ -467,3 +467,19 @@ def test_sparse_search_shuffles_no_pairs(spark):
     top = search.topk_sparse(lone, lone.withColumnRenamed("doc_id", "query_id"), 1, ["doc_id"], ["doc_id"])
     assert {r.doc_id for r in top.collect()} == {0}
     assert "SortMergeJoin" not in top._jdf.queryExecution().toString()
+
+
+def test_evaluation_of_many_questions(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def chunk(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([("m", i, f"word{i} alpha") for i in range(60)], "method string, id int, text string")
+    asked = spark.createDataFrame([(f"word{i % 70}", [f"word{i % 70}"]) for i in range(1400)], "query string, must_contain array<string>")
+    # Words of 60 to 69 are in no chunk, but may share a bucket with one.
+    assert [(r.num_chunks, r.total_queries, r.hits) for r in evaluate.evaluate(rows.mapInPandas(chunk, rows.schema), asked, 3).collect()] == [(60, 1400, 1200)]
+    assert calls.value == 60
+    assert [(r.num_chunks, r.total_queries, r.hits) for r in evaluate.evaluate(rows, asked, 3, block=500).collect()] == [(60, 1400, 1200)]
