@@ -23,32 +23,77 @@ Nothing is sampled or capped; every filter is a necessary condition. Copies of a
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkspark.llm.count_table import cells, count_table, decode_counts, table_bits
-from chunkspark.llm.unicode_text import words
 from chunkspark.session import cut_lineage
 
 BOXES = 8
 HOT = 20_000
-
-
-class _Hashes(dict):
-    """Word -> 64-bit hash, remembered by the Python worker."""
-
-    def __missing__(self, word: bytes | str) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
+#: Code points that are hashed together; longer texts are hashed alone.
+SLICE = 1 << 18
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+_KINDS = np.zeros(0x110000, np.uint8)  # 1: no word, 2: letter, mark or digit; filled as characters occur
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            factors = np.full(max(n, SLICE), base, np.uint64)
+            factors[0] = 1
+            _POWERS[name] = np.multiply.accumulate(factors)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _hash_slice(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    code = np.frombuffer("\n".join(low).encode("utf-32-le"), np.uint32)
+    kind = _KINDS[code]
+    if len(kind) and not kind.min():
+        for c in np.unique(code[kind == 0]).tolist():
+            _KINDS[c] = 1 + (unicodedata.category(chr(c))[0] in "LMN")
+        kind = _KINDS[code]
+    edges = np.flatnonzero(np.diff(kind == 2, prepend=False, append=False))
+    start, stop = edges[::2], edges[1::2]
+    up, down = _powers(len(code) + 1)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * up[:-1], out=sums[1:])
+    # The code points of a word as a polynomial, whatever its place.
+    h = (sums[stop] - sums[start]) * down[start]
+    ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)
+    return np.searchsorted(ends, start, "right"), _mix(h)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(record index, hash) of every word of ``unicode_text.words``, in order."""
+    owners, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    some, low, size = [], [], 0
+    last = len(texts) - 1
+    for i, text in enumerate(texts):
+        if text:
+            some.append(i)
+            low.append(text.lower())
+            size += len(low[-1])
+        if low and (size >= SLICE or i == last):
+            at, h = _hash_slice(low)
+            owners.append(np.asarray(some, np.int64)[at])
+            hashes.append(h)
+            some, low, size = [], [], 0
+    return np.concatenate(owners), np.concatenate(hashes)
 
 
 def shingles(texts: list[str | None], k: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,25 +101,12 @@ def shingles(texts: list[str | None], k: int, least_words: int) -> tuple[np.ndar
 
     Records with fewer than ``least_words`` (or than k) words have no shingles here.
     """
-    if len(_HASHES) > 400_000:
-        _HASHES.clear()
-    counts = np.zeros(len(texts), dtype=np.int64)
-    flat: list[int] = []
-    owner, sizes = [], []
-    least = max(k, least_words)
-    for i, text in enumerate(texts):
-        if text is None:
-            continue
-        found = words(text)
-        counts[i] = n = len(found)
-        if n >= least:
-            flat.extend(map(_HASHES.__getitem__, found))
-            owner.append(i)
-            sizes.append(n)
-    if not flat:
+    doc, h = word_hashes(texts)
+    counts = np.bincount(doc, minlength=len(texts))
+    enough = (counts >= max(k, least_words))[doc]
+    doc, h = doc[enough], h[enough]
+    if not len(h):
         return np.empty(0, np.int64), np.empty(0, np.uint64), counts
-    h = np.fromiter(flat, np.uint64, len(flat))
-    doc = np.repeat(np.asarray(owner, np.int64), sizes)
     mixed = h[: len(h) - k + 1].copy()
     for j in range(1, k):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]

@@ -433,3 +433,18 @@ def test_scan_repair_reads_a_fourth_form(spark):
     fixed, defects = scan_repair.repair(df, "doc_id", "text")
     assert {tuple(r) for r in defects.collect()} == {("d", len(lines), "misread")}
     assert fixed.where(F.col("line_no") == len(lines)).first().fixed == "We know that the fourth bâr of the plasma holds."
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    import numpy as np
+
+    from chunkspark.llm import near_dup
+    from chunkspark.llm.unicode_text import words
+
+    texts = ["Low-rank ΟΔΟΣ, οδος; İ ı x_y 3.14", None, "", " \n", "été \U0001f600 हिन्दी 漢字", "ab ba a b aab", "long word " * 40_000 + "end", "x" * 300_000 + " low", "", "END low", None]
+    want = [(i, w if isinstance(w, str) else w.decode()) for i, t in enumerate(texts) if t for w in words(t)]
+    owner, h = near_dup.word_hashes(texts)
+    assert owner.tolist() == [i for i, _ in want]
+    assert len(set(h.tolist())) == len({w for _, w in want}) == len({(w, x) for (_, w), x in zip(want, h.tolist())})
+    assert near_dup.shingles(texts, 3, 0)[2].tolist() == np.bincount(owner, minlength=len(texts)).tolist()
+    assert [len(x) for x in near_dup.word_hashes([None, ""])] == [0, 0]
