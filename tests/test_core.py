@@ -483,3 +483,65 @@ def test_evaluation_of_many_questions(spark):
     assert [(r.num_chunks, r.total_queries, r.hits) for r in evaluate.evaluate(rows.mapInPandas(chunk, rows.schema), asked, 3).collect()] == [(60, 1400, 1200)]
     assert calls.value == 60
     assert [(r.num_chunks, r.total_queries, r.hits) for r in evaluate.evaluate(rows, asked, 3, block=500).collect()] == [(60, 1400, 1200)]
+
+
+def test_shared_chunks_are_hashed_and_scored_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from chunkspark.operators import best
+
+    rows = [(m, f"{i}-{m}", f"word{i} alpha. beta{i % 3}") for i in range(30) for m in ("m", "n")] + [("n", "x", "word3 gamma"), ("n", "y", None)]
+    seen = []
+    add = best.Bounded.add_shared
+    monkeypatch.setattr(best.Bounded, "add_shared", lambda self, by, ids, row, bucket, texts: (seen.extend(texts), add(self, by, ids, row, bucket, texts)))
+    monkeypatch.setattr(best.Waiting, "part", lambda self, least: None)  # few rows aren't shared else
+    asked = spark.createDataFrame([], "method string")  # only its session
+    run = evaluate._best_of_task(asked, [("word3 gamma", ["gamma"]), ("beta1", ["none"])], 2)
+    batch = pa.RecordBatch.from_pylist([dict(zip(("method", "id", "text"), r)) for r in rows])
+    out = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+    assert sorted(seen) == sorted({t for _, _, t in rows if t})
+    assert {r["method"]: r["n"] for r in out if r["place"] == -1} == {"m": 30, "n": 32}
+    assert sorted((r["id"], r["hit"]) for r in out if r["place"] == 0 and r["method"] == "n") == [("3-n", False), ("x", True)]
+    assert sorted((r["id"]) for r in out if r["place"] == 1 and r["method"] == "m") == ["1-m", "10-m"]
+
+
+def test_bounded_rows_equal_all_scores():
+    import random
+
+    import numpy as np
+
+    from chunkspark.operators import best
+
+    rng = random.Random(11)
+    bag = lambda most, of: {rng.randrange(31): rng.choice(of) for _ in range(rng.randrange(most))}
+    rows = [bag(9, [1, 1, 2]) for _ in range(700)]
+    for long in (False, True):
+        asked = [bag(6, [1, 1, 2]) for _ in range(40)] + [{31: 1}] + ([{1: 3000, 2: 1}] if long else [])  # one meets no row
+        for k, positive in ((1, False), (3, False), (3, True), (70, False)):
+            keep = best.Bounded(best.tree(asked), k, 32, positive=positive)
+            names = {"m": [f"{i:03}" for i in range(700)], "n": [f"{i}" for i in range(700)]}  # ids in two orders
+            for part, by in ((range(0, 300), ["m", "n"]), (range(300, 600), ["m", "n"]), (range(600, 700), ["n"])):
+                words = [(i, b) for i, r in enumerate(part) for b, w in rows[r].items() for _ in range(w)]
+                row, bucket = (np.array(x, np.int64) for x in zip(*words))
+                keep.add_shared(by, [[names[g][i] for i in part] for g in by], row, bucket, [""] * len(part))
+            got = {}
+            for j, g, key, score, _ in keep.rows():
+                got.setdefault((j, g), []).append((-score, key))
+            want = {}
+            for j, q in enumerate(asked):
+                for g, n in (("m", 600), ("n", 700)):
+                    dots = [(sum(w * r.get(b, 0) for b, w in q.items()), names[g][i], r) for i, r in enumerate(rows[:n]) if r and q]
+                    scored = [(-float(best.rounded(np.array(d / (np.sqrt(sum(w * w for w in r.values())) * np.sqrt(sum(w * w for w in q.values())))))), key) for d, key, r in dots if d or not positive]
+                    if scored:
+                        want[j, g] = sorted(scored)[:k]
+            assert got == want
+
+
+def test_strip_and_windows_of_all_blanks_and_pieces(spark):
+    from chunkspark.functions import text
+
+    rows = spark.createDataFrame([(chr(i) + "a" + chr(i) + "b" + chr(i),) for i in range(1, 0x3100)], "t string")
+    assert rows.where(F.regexp_replace("t", f"^{text.SPACE}+|{text.SPACE}+$", "") != text.strip("t")).isEmpty()
+    assert rows.where(text.strip("t") != F.col("t")).count() == 29
+    assert one(spark, "ab😀\ncdefg", lambda t: chunkers.sliding(t, 4, 2)) == ["ab😀", "😀\ncd", "cdef", "efg"]
+    assert one(spark, "ab\r\n\x1dc d\n", lambda t: chunkers.REGISTRY["format_aware"](t)) == ["ab\n\nc d"]
