@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from chunkspark.llm.count_table import cells, count_table, decode_counts, table_bits
 from chunkspark.session import cut_lineage
@@ -263,7 +264,8 @@ def _check(k: int, least_words: int, p: int, q: int):
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = 5, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate join of ``df``: ``(members, links)``.
 
-    ``members(id, a, a2)`` holds each distinct id with the class (two hashes of the text) that it belongs to;
+    ``members(id, a, a2, paired)`` holds each distinct id with the class (two hashes of the text) that it belongs to;
+    a class that is not ``paired`` has no link;
     ``links(a, a2, b, b2, jaccard)`` every pair of classes whose sets of ``k`` consecutive words have at least the
     Jaccard similarity ``threshold``, a class being linked to itself when it has several ids and enough words.
     Ids with a null id or text are in no class; repeated rows count once; texts with fewer than ``least_words``
@@ -274,10 +276,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     rows = rows.select("id", "text", F.xxhash64("text").alias("h"))
     long_enough = rows.where(F.length("text") >= max(1, 2 * max(least_words, k) - 1))
     second = F.xxhash64(F.lit("second"), F.col("text"))
-    members = rows.select("id", F.col("h").alias("a"), second.alias("a2")).distinct()
-    copies = members.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", F.col("a").alias("b"))
+    copies = long_enough.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    copies = copies.select(F.col("h").alias("a"), F.col("h").alias("b"))
     bits = table_bits(long_enough, "text")
-    pairs = cut_lineage(ring_pairs(index_rows(long_enough, t, k, least_words, bits), t).unionByName(copies))
+    pairs = cut_lineage(ring_pairs(index_rows(long_enough, t, k, least_words, bits), t).unionByName(copies), free=True)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h"))
     wanted = rows.sparkSession.sparkContext.broadcast(count_table(ends, lambda batch: batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
 
@@ -285,8 +287,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     def is_wanted(h: pa.Array) -> pa.Array:
         return pa.array(wanted.value[cells(h.to_numpy(zero_copy_only=False).view(np.uint64), bits)] > 0)
 
-    # Only texts with a candidate go on (and a few whose cell is taken by another), before anything is shuffled.
-    texts = long_enough.where(is_wanted("h")).select("h", second.alias("h2"), "text").dropDuplicates(["h", "h2"])
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(batch.schema.get_field_index("a")).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.append_column("paired", pa.array(wanted.value[cells(h, bits)] > 0))
+
+    # Only ids and texts with a candidate go on (and a few whose cell is taken by another), before anything is shuffled.
+    # As a column the optimizer would repeat the test of a member on its links.
+    members = rows.select("id", F.col("h").alias("a"), second.alias("a2"))
+    members = members.mapInArrow(paired, StructType([*members.schema, StructField("paired", BooleanType())])).distinct()
+    texts = long_enough.where(is_wanted("h")).select("h", F.struct(second.alias("h2"), "text").alias("one"))
+    # Grouped by h alone, so that one exchange serves both joins.
+    texts = texts.groupBy("h").agg(F.collect_set("one").alias("same")).select("h", F.inline("same"))
     left, right = (texts.select(F.col("h").alias(c), F.col("h2").alias(f"{c}2"), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").where("a <> b or a2 = b2").select("a", "a2", "b", "b2", "text_a", "text_b")
     links = both.mapInArrow(_check(k, least_words, t.numerator, t.denominator), "a long, a2 long, b long, b2 long, jaccard double")
@@ -295,7 +307,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs of different ids ``(id_a, id_b)``, smaller id first in byte order, behind ``links``."""
-    left, right = members.select(F.col("id").alias("x"), "a", "a2"), members.select(F.col("id").alias("y"), F.col("a").alias("b"), F.col("a2").alias("b2"))
+    some = members.where("paired")
+    left, right = some.select(F.col("id").alias("x"), "a", "a2"), some.select(F.col("id").alias("y"), F.col("a").alias("b"), F.col("a2").alias("b2"))
     pairs = links.join(left, ["a", "a2"]).join(right, ["b", "b2"])
     pairs = pairs.where((F.col("x") != F.col("y")) & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))))
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -1,7 +1,9 @@
 """Operators of the subpackage against brute force, and their edge cases."""
 
 import itertools
+import os
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -49,6 +51,39 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dup.expand_pairs(members, links).count() == 0
 
 
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f: os.path.getsize(f) for f in files if os.path.basename(f).startswith("shuffle_") and os.path.exists(f)}
+
+
+def test_near_duplicates_free_the_index_and_name_paired_ids(spark):
+    rng = random.Random(4)
+    passages = [[f"p{i}w{j}" for j in range(12)] for i in range(60)]
+    texts = {f"t{i:03}": " ".join(sum(rng.sample(passages, 12), [])) for i in range(400)}
+    texts |= {"u1": texts["t000"], "u2": texts["t001"] + " end", "short1": "a b", "short2": "a b", "lone": " ".join(f"x{i}" for i in range(80))}
+    df = spark.createDataFrame([*texts.items(), ("t005", texts["t005"])], "id string, text string")
+    rows = near_dup.index_rows(df.select(F.xxhash64("text").alias("h"), "text"), Fraction("0.65"), 3, 10, 16).count()
+    assert rows > 4000
+    before = shuffle_bytes(spark).keys()
+    members, links = near_dup.near_duplicates(df, "id", "text", 0.65, 3, 10)
+    for _ in range(50):  # removed in the background
+        left = sum(n for f, n in shuffle_bytes(spark).items() if f not in before)
+        if left < 16 * rows:
+            break
+        time.sleep(0.2)
+    assert left < 16 * rows  # a row of the index has three random longs
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    paired = {r["id"] for r in members.where("paired").collect()}
+    assert {"t000", "t001", "u1", "u2"} <= paired
+    assert not {"lone", "short1", "short2"} & paired
+    assert members.count() == len(texts)
+    got = {tuple(r) for r in near_dup.expand_pairs(members, links).collect()}
+    sets = {i: shingle_set(t, 3) for i, t in texts.items() if len(t.split()) >= 10}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) * 100 >= 65 * len(sets[a] | sets[b])}
+    assert {("t000", "u1"), ("t001", "u2")} <= want == got
+    assert links.where("a = b").count() == 1
+
+
 def test_rows_of_a_hot_shingle_meet_once(monkeypatch):
     monkeypatch.setattr(near_dup, "HOT", 4)
     texts = [f"a b c d e f g h {i} {i + 1}" for i in range(20)]
