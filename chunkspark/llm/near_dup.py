@@ -146,12 +146,15 @@ def shingle_counts(texts: DataFrame, k: int, least_words: int, bits: int) -> np.
     return count_table(texts, lambda batch: shingles(_once(batch, seen), k, least_words)[1], bits)
 
 
-COLUMNS = "token long, id long, m1 long, m2 long, sketches long"
+#: In this order what is mostly zero (m2, and the low bits of the token in the next row) lies together and shuffles small.
+COLUMNS = "token long, id long, sketches long, m1 long, m2 long"
 
 
 def prefix_rows(texts: list[str | None], ids: np.ndarray, codes: np.ndarray, k: int, least_words: int, t: Fraction) -> dict[str, np.ndarray]:
-    """The index rows of a batch: token, id, size of the set, place in the segment's prefix and class flag (m1), sizes
-    of the segment and of the next one (m2), and the sketches of both (32 bits each)."""
+    """The index rows of a batch: token, id, the sketches of the segment and of the next one (32 bits each), and four
+    numbers, their low halves of 16 bits in m1 and their high ones in m2: from the lowest, place in the segment's prefix
+    and class flag (2 bits), sizes of the segment and of the next one, size of the set. A token is 48 bits of the
+    shingle's hash: where two shingles have the same, there are only more candidates."""
     doc, h, _ = shingles(texts, k, least_words)
     if not len(h):
         return {c.split()[0]: np.empty(0, np.int64) for c in COLUMNS.split(", ")}
@@ -186,13 +189,14 @@ def prefix_rows(texts: list[str | None], ids: np.ndarray, codes: np.ndarray, k:
     low, high = np.minimum(mine, other), np.maximum(mine, other)
     flag = np.where(mine == other, 2, (mine > other).astype(np.int64))
     following = at // BOXES * BOXES + (at + 1) % BOXES
+    numbers = [(position[rep] << 2) | flag, sizes[at], sizes[following], size[at // BOXES]]
     with np.errstate(over="ignore"):
         return {
-            "token": token[rep] + low * np.int64(0x1F123BB5159A55E5) + high * np.int64(0x2545F4914F6CDD1D),
+            "token": (token[rep] + low * np.int64(0x1F123BB5159A55E5) + high * np.int64(0x2545F4914F6CDD1D)) & np.int64(-(1 << 16)),
             "id": own[rep],
-            "m1": (size[at // BOXES] << 32) | (position[rep] << 2) | flag,
-            "m2": (sizes[at] << 32) | sizes[following],
             "sketches": ((sketch[at] << np.uint64(32)) | sketch[following]).view(np.int64),
+            "m1": sum((x & 0xFFFF) << 16 * i for i, x in enumerate(numbers)),
+            "m2": sum((x >> 16) << 16 * i for i, x in enumerate(numbers)),
         }
 
 
@@ -219,8 +223,8 @@ def ring_pairs(rows: DataFrame, t: Fraction, chain: int = 2) -> DataFrame:
     """Pairs (a, b), a < b, of ids whose index rows meet and whose chains of up to ``chain`` (0 to 2) segments from
     there stay within their budgets."""
     p, q = t.numerator, t.denominator
-    size, place = "shiftright({0}.m1, 32)", "(shiftright({0}.m1, 2) & 1073741823)"
-    n1, n2 = "shiftright({0}.m2, 32)", "({0}.m2 & 2147483647)"
+    place, n1, n2, size = (f"((shiftright({{0}}.m1, {i}) & 65535) | shiftleft(shiftright({{0}}.m2, {i}) & 65535, 16))" for i in (0, 16, 32, 48))
+    place = f"shiftright({place}, 2)"
     both = lambda n: f"({n.format('l')} + {n.format('r')})"
     # The distance of two segments is at least that of their sketches and of their sizes.
     far = lambda bits, n: f"greatest(bit_count((l.sketches ^ r.sketches) & {bits}), abs({n.format('l')} - {n.format('r')}))"

@@ -7,6 +7,7 @@ import time
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,35 @@ def test_rows_of_a_hot_shingle_meet_once(monkeypatch):
     assert len(set(met)) == 20 * 19 // 2
 
 
+def test_index_rows_are_small():
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 5003}" for j in range(90)) for i in range(2000)]
+    ids = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, len(texts), np.int64)
+    rows = near_dup.prefix_rows(texts, ids, np.full(1 << 16, 20, np.uint8), 3, 0, Fraction("0.65"))
+    names = [c.split()[0] for c in near_dup.COLUMNS.split(", ")]
+    assert list(rows) == names
+    # As Spark shuffles them: length, null bits and the columns, in compressed blocks of 32 KB, to one of many tasks.
+    mine = rows["token"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58) == 0
+    table = np.zeros(int(mine.sum()), [("length", ">i4"), ("nulls", "<i8"), *((n, "<i8") for n in names)])
+    table["length"] = table.itemsize - 4
+    for n in names:
+        table[n] = rows[n][mine]
+    data, codec = table.tobytes(), pa.Codec("lz4_raw")
+    size = sum(len(codec.compress(data[i : i + 32768])) for i in range(0, len(data), 32768))
+    assert size / len(table) < 32
+
+
+def test_index_rows_of_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BOXES", 1)
+    words_ = [f"w{i}" for i in range(66_002)]
+    texts = [" ".join(words_), " ".join(words_[:60_002]), " ".join(words_[:40_002])]  # 66000, 60000 and 40000 shingles
+    t = Fraction("0.65")
+    rows = near_dup.prefix_rows(texts, np.arange(3), np.full(1 << 16, 20, np.uint8), 3, 0, t)
+    assert (rows["m2"] != 0).any()
+    df = spark.createDataFrame(pa.table(rows))
+    for chain in (0, 1, 2):
+        assert {tuple(r) for r in near_dup.ring_pairs(df, t, chain).collect()} == {(0, 1), (1, 2)}
+
+
 def test_count_codes():
     counts = np.array([0, 1, 128, 129, 1000, 10**7, 10**11])
     codes = count_table.encode_counts(counts)
