@@ -545,3 +545,17 @@ def test_strip_and_windows_of_all_blanks_and_pieces(spark):
     assert rows.where(text.strip("t") != F.col("t")).count() == 29
     assert one(spark, "ab😀\ncdefg", lambda t: chunkers.sliding(t, 4, 2)) == ["ab😀", "😀\ncd", "cdef", "efg"]
     assert one(spark, "ab\r\n\x1dc d\n", lambda t: chunkers.REGISTRY["format_aware"](t)) == ["ab\n\nc d"]
+
+
+def test_corpus_recall_asks_for_every_document(spark, tmp_path):
+    from chunkspark.plans import oracles
+    from chunkspark.plans.queries import QUERIES
+
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["Alpha beta gamma. Beta delta. Epsilon zeta.\n\nEta theta beta iota.", "Kappa lambda. Lambda mu nu. Xi omicron pi!\n\n# Rho\nSigma tau.", "", None, "Alpha beta gamma. Beta delta."]
+    docs(spark, *texts).withColumn("doc_id", F.col("doc_id") + 1).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {tuple(r) for r in QUERIES["corpus_recall"](spark, str(tmp_path)).collect()}
+    assert {r[4] for r in rows} == {50}
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows == set(db.sql(oracles.oracle_sql()["corpus_recall"]).fetchall())
