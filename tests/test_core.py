@@ -559,3 +559,20 @@ def test_corpus_recall_asks_for_every_document(spark, tmp_path):
     db = duckdb.connect()
     db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert rows == set(db.sql(oracles.oracle_sql()["corpus_recall"]).fetchall())
+
+
+def test_evaluation_by_shares_of_the_questions_equals_one_pass(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda n: f"w{int(rng.paretovariate(0.7)) % n}"
+    texts = [" ".join(word(400) for _ in range(rng.choice([1, 3, 9, 40]))) for _ in range(1500)]
+    rows = [(m, f"{i * 7 % 1500}-{m}", None if i == 5 else t) for i, t in enumerate(texts) for m in "abc" if m == "a" or i % 3 or i > 900] + [("d", "0", "??")]
+    chunks = spark.createDataFrame(rows, "method string, id string, text string")
+    asked = [(rng.choice(["What is w1 of w2 and w3", "How does w4 w4", word(400), "zz"]), [word(400) for _ in range(rng.randrange(5))]) for _ in range(400)] + [("?", ["w1"]), ("w9", [])]
+    queries = spark.createDataFrame(asked, "query string, must_contain array<string>")
+    words = F.concat_ws(" ", "query", F.array_join("must_contain", " "))
+    for k in (1, 3, 70):
+        one_pass, shares, rounds = ({tuple(r) for r in evaluate.evaluate(chunks, queries, k, words, block=b).collect()} for b in (1000, 150, 50))
+        assert one_pass == shares == rounds
+        assert {r[0]: r[2] for r in shares} == {"a": 1500, "b": 1199, "c": 1199, "d": 1}
